@@ -166,12 +166,12 @@ BLUR = f"""taps AS (
   SELECT level, d, exp(-d * d / (2 * p * p)) / sum(exp(-d * d / (2 * p * p))) OVER (PARTITION BY level) AS w
   FROM (SELECT level, p, unnest(range(-3 * p::INT, 3 * p::INT + 1)) AS d FROM (VALUES {levels("blur")}) s(level, p))),
 near AS (
-  SELECT level, at, least(7, greatest(0, at + d)) AS source, sum(w) AS w
-  FROM taps, (SELECT unnest(range(0, 8)) AS at) GROUP BY 1, 2, 3),
+  SELECT level, spot, least(7, greatest(0, spot + d)) AS source, sum(w) AS w
+  FROM taps, (SELECT unnest(range(0, 8)) AS spot) GROUP BY 1, 2, 3),
 down AS (
-  SELECT vec_id, label, level, at AS y, i % 8 AS x, sum(w * v) AS v FROM px JOIN near ON i // 8 = source GROUP BY ALL),
+  SELECT vec_id, label, level, spot AS y, i % 8 AS x, sum(w * v) AS v FROM px JOIN near ON i // 8 = source GROUP BY ALL),
 blur AS (
-  SELECT vec_id, label, 'blur' AS kind, n.level, y * 8 + n.at AS i, sum(w * v) AS v
+  SELECT vec_id, label, 'blur' AS kind, n.level, y * 8 + n.spot AS i, sum(w * v) AS v
   FROM down d JOIN near n ON d.level = n.level AND d.x = n.source GROUP BY ALL)"""
 OOD_M1 = """corrupted AS (FROM contrast UNION ALL BY NAME FROM noise UNION ALL BY NAME FROM blur),
 ood_logits AS (
