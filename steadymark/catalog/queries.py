@@ -482,3 +482,45 @@ def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def resource_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.resource_stats(table(spark, sf_dir, "events", "event_type", "value"), "event_type", "value")
+
+
+# ---------------------------------------------------------------- trained classifiers
+
+#: Ensemble sizes of the registered queries. All rows are used; the published sizes (200 to 300 trees,
+#: the library's default) take many minutes for six fits of each model on one machine.
+SMALL_ENSEMBLES = {
+    learners.FOREST: {"numTrees": 10},
+    learners.BOOSTED: {"maxIter": 5},
+    learners.TUNED: {"maxIter": 8},
+}
+_TRAINED: dict[tuple[str, str], learners.TrainedModels] = {}
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> learners.TrainedModels:
+    """Trained once per application and data set; four tables are read from it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _TRAINED:
+        plan = learners.TrainingPlan(keys=("row_key",), params=SMALL_ENSEMBLES)
+        _TRAINED[at] = learners.train(fact(spark, sf_dir, "row_key"), plan)
+    return _TRAINED[at]
+
+
+@register
+def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(_trained(spark, sf_dir).comparison.drop("model_order"), 4)
+
+
+@register
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(_trained(spark, sf_dir).importance, 4)
+
+
+@register
+def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(report.feature_ranking(_trained(spark, sf_dir).importance), 4)
+
+
+@register
+def qualitative_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    effects = stats.effect_sizes(gold.outcome_moments(fact_cells(spark, sf_dir)))
+    return report.qualitative_summary(effects, _trained(spark, sf_dir).comparison)

@@ -6,7 +6,8 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are bounded by bytes, not only by rows: one row may hold a whole image.
 SETTINGS = {
@@ -47,6 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return named
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the shared checkpoint folder from then on.
+
+    The written copy survives the loss of executors, and later plans start from a plain scan. Without
+    a checkpoint folder the rows are only kept on the executors and recomputed where one is lost.
+    """
+    if ensure_checkpoint_dir(df.sparkSession) is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint(eager=True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
