@@ -16,7 +16,7 @@ from steadymark.functions.scores import argmax, linear_logits
 from steadymark.operators import evaluate, gold, labels, learners, report, scoring, splits, stats, workload
 from steadymark.operators.ordered import ranked_values
 from steadymark.plans import layers
-from steadymark.session import ship_package
+from steadymark.session import cut_lineage, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -137,7 +137,7 @@ def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def global_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = fact(spark, sf_dir)
+    joined = cut_lineage(fact(spark, sf_dir))
     return tidy(gold.global_profile(joined, gold.cell_table(joined)), 4)
 
 
@@ -213,12 +213,13 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(stats.spearman(ranked_values(fact(spark, sf_dir), gold.METRICS, gold.TARGET)))
+    joined = cut_lineage(fact(spark, sf_dir).select(*gold.METRICS, gold.TARGET))
+    return tidy(stats.spearman(ranked_values(joined, gold.METRICS, gold.TARGET)))
 
 
 @register
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = fact(spark, sf_dir)
+    joined = cut_lineage(fact(spark, sf_dir))
     table_ = stats.correlations(
         gold.outcome_moments(gold.cell_table(joined)), ranked_values(joined, gold.METRICS, gold.TARGET)
     )
@@ -475,7 +476,7 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = fact(spark, sf_dir, "row_key").select("row_key", "entropy")
+    joined = cut_lineage(fact(spark, sf_dir, "row_key").select("row_key", "entropy"))
     return tidy(splits.permute_column(joined, ["row_key"], "entropy", repeats=2), 4)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A join whose build side proves small in every partition at run time need not sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(128 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
@@ -49,14 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the shared checkpoint folder from then on.
+    """``df`` computed once, written to the shared checkpoint folder and read back from there.
 
-    The written copy survives the loss of executors, and later plans start from a plain scan. Without
-    a checkpoint folder the rows are only kept on the executors and recomputed where one is lost.
+    The written table survives the loss of executors, is read by column, and later plans start from a
+    plain scan. Without a checkpoint folder the rows are only kept on the executors and recomputed
+    where one is lost.
     """
-    if ensure_checkpoint_dir(df.sparkSession) is None:
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
