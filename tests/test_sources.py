@@ -40,10 +40,11 @@ def test_dataset_has_label_indices(spark, folder):
     assert sorted(map(tuple, rows)) == [("a_cat", 0), ("b_dog", 1)]
 
 
-def test_junk_is_dropped_and_counted(spark, folder):
+def test_junk_is_dropped_and_counted(spark, folder, tmp_path):
     seen = Observation("images")
     decoded = images.decode_images(spark, str(folder), "*.png", seen)
-    assert decoded.count() == 7
+    tables.write_table(decoded, str(tmp_path / "decoded"))
+    assert spark.read.parquet(str(tmp_path / "decoded")).count() == 7
     assert seen.get == {"read": 8, "dropped": 1}
 
 
