@@ -216,7 +216,7 @@ def _profile() -> str:
         ("mean", "avg({})"), ("std", "stddev_samp({})"), ("min", "min({})"), ("max", "max({})"),
         ("median", "quantile_disc({}, 0.5)"), ("q25", "quantile_disc({}, 0.25)"), ("q75", "quantile_disc({}, 0.75)"),
     ):
-        columns += [f"{r(call.format(m), 4)} AS {name}_{m}" for m in METRICS]
+        columns += [f"{r(call.format(m), 5)} AS {name}_{m}" for m in METRICS]
     return FACT + "SELECT " + ", ".join(columns) + " FROM joined"
 
 
@@ -262,7 +262,7 @@ def all_sql() -> dict[str, str]:
         "regexp_replace(url, '^https?://[^/]+', '/staged', 'g') AS pattern_key FROM pages"
     )
 
-    metric_columns = ", ".join(f"{r(m, 4)} AS {m}" for m in METRICS)
+    metric_columns = ", ".join(f"{r(m)} AS {m}" for m in METRICS)
     sql["joined_fact"] = FACT + (
         "SELECT image_path, adapter_rank, corruption_type, corruption_level, is_correct::BIGINT AS is_correct, row_key, "
         f"{metric_columns} FROM joined"
@@ -358,6 +358,16 @@ FROM tails GROUP BY 1"""
   {r('corrupted_accuracy')} AS corrupted_accuracy, {r('(clean_accuracy - corrupted_accuracy) * 100')} AS gap_points
 FROM (SELECT a AS adapter_rank, avg((predicted = label)::INT) AS clean_accuracy FROM clean GROUP BY 1)
 JOIN (SELECT adapter_rank, avg(is_correct) AS corrupted_accuracy FROM ood GROUP BY 1) USING (adapter_rank)"""
+    sql["ood_outcomes_python"] = sql["ood_outcomes"]
+    sql["bronze_embeddings"] = f"""WITH cells AS (
+  SELECT vec_id, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT vec_id::VARCHAR AS image_path, (j % 16)::BIGINT AS i, {r('avg(v)::FLOAT::DOUBLE')} AS value, 4::BIGINT AS patches FROM cells GROUP BY 1, 2"""
+    whole = [part.replace("unnest([4, 16, 32])", "unnest([64])") for part in (*M1, CLEAN, CURVES, MAPS, SILVER_M1)]
+    sql["silver_python"] = cte(*whole) + (
+        "SELECT image_path, adapter_rank::BIGINT AS adapter_rank, "
+        + ", ".join(f"{r(c)} AS {c}" for c in METRICS)
+        + ", predicted_class, true_label FROM silver"
+    )
     sql["deletion_score"] = cte(*M1, CLEAN, CURVES) + f"SELECT {keyed}, {r('deletion_score')} AS deletion_score FROM curves"
     sql["insertion_score"] = cte(*M1, CLEAN, CURVES) + f"SELECT {keyed}, {r('insertion_score')} AS insertion_score FROM curves"
     sql["batch_explain_python"] = cte(*M1, CLEAN, CURVES) + (
@@ -439,7 +449,7 @@ SELECT l_returnflag, {r('sum(y::DOUBLE * y_above / n_above) / sum(y)')} AS avg_p
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', row_key, rep, '42')), row_key) AS taker,
     row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', row_key, rep, '42|entropy')), row_key) AS donor FROM base)""") + (
-        f"SELECT t.row_key, t.rep::BIGINT AS rep, {r('t.entropy', 4)} AS entropy, {r('d.entropy', 4)} AS permuted "
+        f"SELECT t.row_key, t.rep::BIGINT AS rep, {r('t.entropy')} AS entropy, {r('d.entropy')} AS permuted "
         "FROM placed t JOIN placed d ON t.rep = d.rep AND t.taker = d.donor"
     )
     sql["resource_stats"] = (

@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadymark.catalog import standins
-from steadymark.catalog.standins import SHAPE, fact, fact_cells, images, models, table
+from steadymark.catalog.standins import SHAPE, fact, fact_cells, images, models, table, work_images
 from steadymark.functions import corruption, curves, explanation
 from steadymark.functions.arrays import as_doubles, stddev_pop
 from steadymark.functions.scores import argmax, linear_logits
@@ -109,7 +110,7 @@ def key_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def joined_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(fact(spark, sf_dir, "row_key"), 4)
+    return tidy(fact(spark, sf_dir, "row_key"))
 
 
 @register
@@ -138,7 +139,7 @@ def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def global_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = cut_lineage(fact(spark, sf_dir))
-    return tidy(gold.global_profile(joined, gold.cell_table(joined)), 4)
+    return tidy(gold.global_profile(joined, gold.cell_table(joined)), 5)
 
 
 @register
@@ -280,7 +281,7 @@ def _corrupted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         else:
             copy = F.get(blurs, F.lit(position))
         copies.append(F.struct(F.lit(level).alias("corruption_level"), copy.alias("vector")))
-    rows = images(spark, sf_dir).select("image_path", F.inline(F.array(*copies)))
+    rows = work_images(spark, sf_dir).select("image_path", F.inline(F.array(*copies)))
     return tidy(rows.select("image_path", "corruption_level", F.posexplode("vector").alias("i", "value")))
 
 
@@ -310,20 +311,20 @@ def clean_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def ood_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = layers.outcomes(images(spark, sf_dir), models(spark, sf_dir), SHAPE, relative_noise=True)
+    results = layers.outcomes(work_images(spark, sf_dir), models(spark, sf_dir), SHAPE, relative_noise=True)
     return tidy(results)
 
 
 @register
 def generalisation_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     scorer = models(spark, sf_dir)
-    rows = images(spark, sf_dir)
+    rows = work_images(spark, sf_dir)
     clean = layers.clean_outcomes(rows, scorer)
     return tidy(gold.generalisation_gap(clean, layers.outcomes(rows, scorer, SHAPE, relative_noise=True)))
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers.silver(images(spark, sf_dir), models(spark, sf_dir))
+    return layers.silver(work_images(spark, sf_dir), models(spark, sf_dir))
 
 
 @register
@@ -350,7 +351,7 @@ def patch_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sequence(F.lit(0), F.lit(15)),
         lambda p: F.aggregate(grid.pixels(p), F.lit(0.0), lambda acc, i: acc + F.abs(F.get("x", i))),
     )
-    rows = workload.model_workload(images(spark, sf_dir), [64]).join(scorer.frame(spark), "adapter_rank")
+    rows = workload.model_workload(work_images(spark, sf_dir), [64]).join(scorer.frame(spark), "adapter_rank")
     rows = rows.withColumn("x", as_doubles(F.col("vector"))).withColumn("h", explanation.normalise(heat))
     rows = rows.withColumn("target", argmax(linear_logits(F.col("x"), F.col("weights"), F.col("bias"))))
     curve = (*[F.col(c) for c in ("x", "h", "weights", "bias", "target")], 10, grid)
@@ -367,13 +368,13 @@ def patch_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robustness_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explain, corrupt, score, join and aggregate: the whole pipeline on the vectors."""
     scorer = models(spark, sf_dir)
-    rows = images(spark, sf_dir)
+    rows = work_images(spark, sf_dir)
     results = layers.outcomes(rows, scorer, SHAPE, relative_noise=True)
     return tidy(gold.base_stats(gold.cell_table(gold.join_outcomes(layers.silver(rows, scorer), results))))
 
 
 class CentroidPredictor:
-    """The linear model as an opaque Python predictor."""
+    """The linear model as an opaque Python predictor; it sees the leading values of a vector."""
 
     def __init__(self, weights, bias):
         self.weights, self.bias = weights, bias
@@ -381,6 +382,10 @@ class CentroidPredictor:
     def predict(self, batch):
         return batch[:, : self.weights.shape[1]] @ self.weights.T + self.bias
 
+    def attend(self, batch):
+        seen = np.abs(batch[:, : self.weights.shape[1]])
+        return seen / (seen.sum(axis=1, keepdims=True) + 1e-10)
+
 
 def centroid_loader(scorer: scoring.LinearModels) -> scoring.Loader:
     def load():
@@ -393,7 +398,7 @@ def centroid_loader(scorer: scoring.LinearModels) -> scoring.Loader:
 @register
 def batch_score_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     scorer = models(spark, sf_dir)
-    work = workload.model_workload(images(spark, sf_dir))
+    work = workload.model_workload(work_images(spark, sf_dir))
     clustered = workload.cluster_by_model(work, "image_path")
     scored = scoring.score_batches(clustered, centroid_loader(scorer), scorer.labels)
     return tidy(scored.select("image_path", "adapter_rank", "predicted_class", "is_correct"))
@@ -401,17 +406,50 @@ def batch_score_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def batch_explain_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curves of an opaque predictor, every mask rescored."""
+    """Curves of an opaque predictor over given heatmaps, every mask rescored."""
     scorer = models(spark, sf_dir)
     seen = F.slice(as_doubles(F.col("vector")), F.lit(1), F.col("adapter_rank"))
-    work = workload.model_workload(images(spark, sf_dir)).select(
-        "image_path", "adapter_rank", seen.alias("vector"), explanation.normalise(F.transform(seen, F.abs)).alias("heatmap")
+    work = workload.model_workload(work_images(spark, sf_dir)).select(
+        "image_path", "adapter_rank", seen.alias("vector"), explanation.normalise(F.transform(seen, F.abs)).alias("weight")
     )
     clustered = workload.cluster_by_model(work, "image_path")
-    scored = scoring.explain_batches(clustered, centroid_loader(scorer))
+    scored = scoring.explain_batches(clustered, centroid_loader(scorer), heatmap="weight")
     return tidy(scored.select("image_path", "adapter_rank", "deletion_score", "insertion_score"))
 
 
+@register
+def silver_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four metrics under opaque predictors of all 64 values, which give their own heatmaps."""
+    scorer = scoring.fit_centroids(images(spark, sf_dir), "vector", "true_label", ranks=[64])
+    rows = layers.silver_with(work_images(spark, sf_dir), centroid_loader(scorer), scorer.labels, [64])
+    return tidy(rows)
+
+
+@register
+def ood_outcomes_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scorer = models(spark, sf_dir)
+    rows = work_images(spark, sf_dir)
+    return tidy(layers.outcomes_with(rows, centroid_loader(scorer), scorer.labels, SHAPE, relative_noise=True))
+
+
+def patch_extractor():
+    """Stand-in for an embedding network: 4 patch vectors of 16 values, their mean as class token."""
+
+    def extract(rows):
+        patches = np.stack(rows["vector"].to_numpy()).astype(float).reshape(-1, 4, 16)
+        for key, patch in zip(rows["image_path"], patches):
+            yield str(key), patch.mean(axis=0).tolist(), patch.tolist(), "cpu"
+
+    return extract
+
+
+@register
+def bronze_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = layers.bronze(work_images(spark, sf_dir).select("image_path", "vector"), lambda: patch_extractor())
+    tokens = extracted.select("image_path", F.posexplode("cls").alias("i", "value"), F.size("patches").alias("patches"))
+    return tidy(tokens)
+
+
 # ---------------------------------------------------------------- splits and evaluation
 
 
@@ -477,7 +515,7 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = cut_lineage(fact(spark, sf_dir, "row_key").select("row_key", "entropy"))
-    return tidy(splits.permute_column(joined, ["row_key"], "entropy", repeats=2), 4)
+    return tidy(splits.permute_column(joined, ["row_key"], "entropy", repeats=2))
 
 
 @register

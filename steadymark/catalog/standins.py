@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from steadymark.operators.gold import cell_table, join_outcomes
 from steadymark.operators.scoring import LinearModels, fit_centroids
+from steadymark.operators.workload import spread
 from steadymark.plans.layers import ImageShape
 from steadymark.sources.tables import read_table
 
@@ -31,6 +32,11 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def work_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`images` for heavy work per row."""
+    return spread(images(spark, sf_dir))
+
+
 def models(spark: SparkSession, sf_dir: str) -> LinearModels:
     return fit_centroids(images(spark, sf_dir), "vector", "true_label")
 

@@ -99,27 +99,36 @@ def silver_linear(
     confidence in the *predicted* class. The whole step is one narrow projection per image.
     """
     workload = model_workload(images, list(models.weights)).join(models.frame(images.sparkSession), "adapter_rank")
-    seen = workload.withColumn("_x", F.slice(F.col(vector), F.lit(1), F.col("adapter_rank")))
-    seen = seen.withColumn("_h", normalise(F.transform("_x", F.abs)))
-    seen = seen.withColumn("_logits", linear_logits(F.col("_x"), F.col("weights"), F.col("bias")))
-    seen = seen.withColumn("predicted_index", argmax(F.col("_logits")))
-    curve = (F.col("_x"), F.col("_h"), F.col("weights"), F.col("bias"), F.col("predicted_index"), steps, grid)
+    x, h, weights, bias, predicted = (F.col(c) for c in ("_x", "_h", "weights", "bias", "predicted_index"))
+    curve = (x, h, weights, bias, predicted, steps, grid)
     return (
-        seen.withColumn("entropy", attention_entropy(F.col("_h")))
-        .withColumn("sparsity", gini_sparsity(F.col("_h")))
-        .withColumn("deletion_score", deletion_score(*curve))
-        .withColumn("insertion_score", insertion_score(*curve))
-        .withColumn("confidence", softmax_at(F.col("_logits"), F.col("predicted_index")))
-        .withColumn("predicted_class", F.get("labels", F.col("predicted_index")))
-        .drop("_x", "_h", "_logits", "weights", "bias", "labels")
+        workload.withColumn("_x", F.slice(F.col(vector), F.lit(1), F.col("adapter_rank")))
+        .withColumns({"_h": normalise(F.transform(x, F.abs)), "_logits": linear_logits(x, weights, bias)})
+        .withColumn("predicted_index", argmax(F.col("_logits")))
+        .select(
+            *images.columns,
+            "adapter_rank",
+            "predicted_index",
+            attention_entropy(h).alias("entropy"),
+            gini_sparsity(h).alias("sparsity"),
+            deletion_score(*curve).alias("deletion_score"),
+            insertion_score(*curve).alias("insertion_score"),
+            softmax_at(F.col("_logits"), predicted).alias("confidence"),
+            F.get("labels", predicted).alias("predicted_class"),
+        )
     )
 
 
 class Predictor(Protocol):
-    """A model as the executors see it: a batch of vectors in, one row of logits each out."""
+    """A model as the executors see it: a batch of vectors in, one row of logits each out.
+
+    ``attend`` gives one normalised heatmap per vector; only explanations need it.
+    """
 
     def predict(self, batch: np.ndarray) -> np.ndarray: ...
 
+    def attend(self, batch: np.ndarray) -> np.ndarray: ...
+
 
 #: Builds the models in the task: called once per partition, returns ``load(rank) -> Predictor | None``.
 Loader = Callable[[], Callable[[int], Predictor | None]]
@@ -178,7 +187,7 @@ def explain_batches(
     workload: DataFrame,
     loader: Loader,
     vector: str = "vector",
-    heatmap: str = "heatmap",
+    heatmap: str | None = None,
     model: str = "adapter_rank",
     steps: int = 10,
     batch_size: int = 256,
@@ -186,27 +195,29 @@ def explain_batches(
 ) -> DataFrame:
     """Deletion and insertion scores of any predictor: every mask is scored again.
 
-    ``grid`` is (image width, patch size, channels); width 0 makes every value its own patch.
+    The heatmap is the column ``heatmap`` or, without one, the predictor's ``attend``; it is returned as
+    ``heatmap``. ``grid`` is (image width, patch size, channels); width 0 makes every value its own patch.
     """
     kept = [f.name for f in workload.schema.fields if f.name not in (vector, heatmap)]
     schema = (
         workload.select(*kept).schema
         .add("predicted_index", T.IntegerType())
+        .add("heatmap", T.ArrayType(T.DoubleType()))
         .add("deletion_score", T.DoubleType())
         .add("insertion_score", T.DoubleType())
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for predictor, group in _by_model(batches, loader, model):
-            # Models differ in the number of values they see, so a chunk holds one width.
+            # Models may differ in the number of values they see, so a chunk holds one width.
             for _, same in group.groupby(group[vector].map(len)):
                 for start in range(0, len(same), batch_size):
                     chunk = same.iloc[start : start + batch_size]
                     images = np.stack(chunk[vector].to_numpy()).astype(float)
-                    heat = np.stack(chunk[heatmap].to_numpy()).astype(float)
+                    heat = predictor.attend(images) if heatmap is None else np.stack(chunk[heatmap].to_numpy())
                     target, deletion, insertion = _masked_scores(predictor, images, heat, steps, grid)
                     yield chunk[kept].assign(
-                        predicted_index=target, deletion_score=deletion, insertion_score=insertion
+                        predicted_index=target, heatmap=list(heat), deletion_score=deletion, insertion_score=insertion
                     )
 
     return workload.mapInPandas(run, schema)
@@ -244,9 +255,12 @@ def _masked_scores(
 
 
 def extract_batches(
-    images: DataFrame, load: Callable[[], Callable[[list], Iterable[tuple]]], schema: T.StructType, column: str
+    images: DataFrame,
+    load: Callable[[], Callable[[pd.DataFrame], Iterable[tuple]]],
+    schema: T.StructType,
+    batch_size: int = 256,
 ) -> DataFrame:
-    """Embedding extraction: ``load()`` runs once per task and returns ``extract(values) -> records``.
+    """Embedding extraction: ``load()`` runs once per task and returns ``extract(rows) -> records``.
 
     ``extract`` may return fewer records than it got, so an unreadable input does not fail its batch.
     """
@@ -255,11 +269,12 @@ def extract_batches(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = load()
         for batch in batches:
-            records = list(extract(batch[column].tolist()))
-            if records:
-                yield pd.DataFrame.from_records(records, columns=names)
+            for start in range(0, len(batch), batch_size):
+                records = list(extract(batch.iloc[start : start + batch_size]))
+                if records:
+                    yield pd.DataFrame.from_records(records, columns=names)
 
-    return images.select(column).mapInPandas(run, schema)
+    return images.mapInPandas(run, schema)
 
 
 def unserved_models(workload: DataFrame, known: Sequence[int], model: str = "adapter_rank") -> DataFrame:

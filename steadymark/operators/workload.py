@@ -51,18 +51,14 @@ def corruption_workload(images: DataFrame, ranks: Sequence[int] = ADAPTER_RANKS)
     return expand(expand(images, corruptions()), adapters(ranks))
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Repartition for compute-heavy work that follows.
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for compute-heavy work on a table of few files.
 
-    With ``partitions`` the count is the caller's. Otherwise the rows move only when the input has
-    fewer splits than the session has cores: a large table has more splits and is not shuffled.
+    Rows move only when the scan has fewer splits than the session has cores; a large table has more and
+    is not shuffled. ``scan`` must be a plain scan: to count the partitions of a shuffle is to run it.
     """
-    if partitions is None:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-        partitions = cores
-    return df.repartition(partitions)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def cluster_by_model(

@@ -11,11 +11,20 @@ from pyspark.sql import types as T
 
 from steadymark.functions.arrays import as_doubles, stddev_pop
 from steadymark.functions.corruption import corrupted_variants
+from steadymark.functions.explanation import attention_entropy, gini_sparsity
 from steadymark.operators import gold, report, stats
 from steadymark.operators.learners import TrainingPlan, train
 from steadymark.operators.ordered import ranked_values
-from steadymark.operators.scoring import LinearModels, extract_batches, score_linear, silver_linear
-from steadymark.operators.workload import adapters, expand, spread
+from steadymark.operators.scoring import (
+    LinearModels,
+    Loader,
+    explain_batches,
+    extract_batches,
+    score_batches,
+    score_linear,
+    silver_linear,
+)
+from steadymark.operators.workload import ADAPTER_RANKS, adapters, cluster_by_model, expand
 from steadymark.sources.tables import save_model, write_single_file, write_table
 
 BRONZE = T.StructType([
@@ -39,9 +48,14 @@ class ImageShape:
         return tuple(F.col(v) if isinstance(v, str) else v for v in (self.height, self.width, self.channels))
 
 
-def bronze(images: DataFrame, load: Callable, partitions: int | None = None) -> DataFrame:
-    """Embeddings of image paths: class token and patch matrix."""
-    return extract_batches(spread(images, partitions), load, BRONZE, "image_path")
+def bronze(images: DataFrame, load: Callable, partitions: int | None = None, batch_size: int = 16) -> DataFrame:
+    """Embeddings of images: class token and patch matrix, in mini-batches of one model per task."""
+    return extract_batches(_placed(images, partitions), load, BRONZE, batch_size)
+
+
+def _placed(images: DataFrame, partitions: int | None) -> DataFrame:
+    """As they come, unless the caller names a number of partitions."""
+    return images if partitions is None else images.repartition(partitions)
 
 
 def silver(images: DataFrame, models: LinearModels, steps: int = 10, partitions: int | None = None) -> DataFrame:
@@ -49,14 +63,40 @@ def silver(images: DataFrame, models: LinearModels, steps: int = 10, partitions:
 
     ``images``: ``image_path, true_label, vector``. One image is one narrow unit of work.
     """
-    rows = spread(images.select("image_path", "true_label", as_doubles(F.col("vector")).alias("vector")), partitions)
-    scored = silver_linear(rows, models, steps=steps)
+    rows = images.select("image_path", "true_label", as_doubles(F.col("vector")).alias("vector"))
+    scored = silver_linear(_placed(rows, partitions), models, steps=steps)
     return scored.select(
         "image_path", "adapter_rank", *gold.METRICS, "confidence", "predicted_class",
         F.col("true_label").cast("string").alias("true_label"),
     )
 
 
+def silver_with(
+    images: DataFrame,
+    loader: Loader,
+    labels: Sequence[str],
+    ranks: Sequence[int] = ADAPTER_RANKS,
+    steps: int = 10,
+    partitions: int | None = None,
+    grid: tuple[int, int, int] = (0, 1, 1),
+) -> DataFrame:
+    """:func:`silver` for any predictor: it gives the heatmap and scores every mask.
+
+    ``partitions`` brings the rows of a model together, each model salted over many tasks.
+    """
+    rows = images.select("image_path", "true_label", as_doubles(F.col("vector")).alias("vector"))
+    work = cluster_by_model(expand(rows, adapters(ranks)), "image_path", partitions=partitions)
+    explained = explain_batches(work, loader, steps=steps, grid=grid)
+    names = F.array(*[F.lit(name) for name in labels])
+    index = F.col("predicted_index")
+    return explained.select(
+        "image_path", "adapter_rank",
+        attention_entropy(F.col("heatmap")).alias("entropy"), gini_sparsity(F.col("heatmap")).alias("sparsity"),
+        "deletion_score", "insertion_score", F.coalesce(F.get(names, index), index.cast("string")).alias("predicted_class"),
+        F.col("true_label").cast("string").alias("true_label"),
+    )
+
+
 def corrupted_images(
     images: DataFrame, shape: ImageShape, relative_noise: bool = False, partitions: int | None = None
 ) -> DataFrame:
@@ -71,7 +111,10 @@ def corrupted_images(
     variants = corrupted_variants(
         F.col("vector"), F.col("image_path"), *shape.columns(), noise_scale=scale, pixels=shape.pixels
     )
-    return spread(rows, partitions).select("image_path", "true_label", F.inline(variants))
+    return _placed(rows, partitions).select("image_path", "true_label", F.inline(variants))
+
+
+OUTCOME = ("image_path", "corruption_type", "corruption_level", "adapter_rank", "predicted_class")
 
 
 def outcomes(
@@ -88,10 +131,23 @@ def outcomes(
     """
     corrupted = corrupted_images(images, shape, relative_noise, partitions)
     scored = score_linear(expand(corrupted, adapters(list(models.weights))), models)
-    return scored.select(
-        "image_path", "corruption_type", "corruption_level", "adapter_rank", "predicted_class",
-        F.col("true_label").cast("string").alias("true_label"), "is_correct",
-    )
+    return scored.select(*OUTCOME, F.col("true_label").cast("string").alias("true_label"), "is_correct")
+
+
+def outcomes_with(
+    images: DataFrame,
+    loader: Loader,
+    labels: Sequence[str],
+    shape: ImageShape,
+    ranks: Sequence[int] = ADAPTER_RANKS,
+    relative_noise: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """:func:`outcomes` for any predictor."""
+    corrupted = corrupted_images(images, shape, relative_noise)
+    work = cluster_by_model(expand(corrupted, adapters(ranks)), "image_path", partitions=partitions)
+    scored = score_batches(work, loader, labels)
+    return scored.select(*OUTCOME, F.col("true_label").cast("string").alias("true_label"), "is_correct")
 
 
 def clean_outcomes(images: DataFrame, models: LinearModels) -> DataFrame:

@@ -89,7 +89,7 @@ def test_opaque_curves_equal_linear_ones_on_a_patch_grid(spark):
         return {7: CentroidPredictor(weights, bias)}.get
 
     # 4 rows of 5 pixels, three channels, patches of side 2: one column is in no patch.
-    opaque = scoring.explain_batches(df, load, grid=(5, 2, 3)).toPandas().set_index("id").sort_index()
+    opaque = scoring.explain_batches(df, load, heatmap="heatmap", grid=(5, 2, 3)).toPandas().set_index("id").sort_index()
     w, b = F.lit(weights.tolist()), F.lit(bias.tolist())
     target = argmax(linear_logits(F.col("vector"), w, b))
     args = (F.col("vector"), F.col("heatmap"), w, b, F.col("t"), 10, curves.PatchGrid(width=5, patch=2, channels=3))
@@ -104,8 +104,8 @@ def test_opaque_curves_equal_linear_ones_on_a_patch_grid(spark):
 def test_embeddings_skip_unreadable_inputs(spark):
     """A batch function may return fewer rows than it got."""
     def load():
-        def extract(paths):
-            return [(p, [1.0, 2.0], [[0.5], [0.25]], "cpu") for p in paths if not p.endswith("bad")]
+        def extract(rows):
+            return [(p, [1.0, 2.0], [[0.5], [0.25]], "cpu") for p in rows["image_path"] if not p.endswith("bad")]
 
         return extract
 
