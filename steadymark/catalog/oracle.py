@@ -257,6 +257,7 @@ def all_sql() -> dict[str, str]:
         "FROM docs LEFT JOIN dict d ON d.idx = p LEFT JOIN dict t ON t.lang = docs.lang"
     )
     sql["path_label"] = "SELECT page_id, string_split(url, '/')[-2] AS label FROM pages"
+    sql["struct_expand"] = "SELECT page_id, string_split(url, '/')[-2] AS true_label FROM pages"
     sql["key_rewrite"] = (
         "SELECT page_id, replace(url, 'http://', 'file:/staged/') AS literal_key, "
         "regexp_replace(url, '^https?://[^/]+', '/staged', 'g') AS pattern_key FROM pages"
@@ -268,12 +269,9 @@ def all_sql() -> dict[str, str]:
         f"{metric_columns} FROM joined"
     )
     sql["joined_count"] = FACT + "SELECT count(*) AS rows FROM joined"
-    sql["unmatched_counts"] = cte(
-        SILVER, OOD,
-        "e AS (SELECT image_path, adapter_rank FROM silver WHERE adapter_rank <> 'R')",
-        "o AS (SELECT image_path, adapter_rank FROM ood WHERE corruption_type = 'F')",
-    ) + """SELECT 'explanations' AS side, count(*) AS unmatched_rows FROM e ANTI JOIN o USING (image_path, adapter_rank)
-UNION ALL SELECT 'outcomes', count(*) FROM o ANTI JOIN e USING (image_path, adapter_rank)"""
+    sql["unmatched_counts"] = """SELECT 'explanations' AS side, count(*) AS unmatched_rows
+FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'outcomes', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"""
     sql["base_stats"] = FACT + base_stats_select(4)
     drops = ("shallow", "medium", "heavy", "drop_shallow_heavy", "drop_pct", "drop_shallow_medium", "drop_medium_heavy")
     sql["degradation"] = FACT_DEGRADED + (

@@ -18,6 +18,7 @@ from steadymark.operators import evaluate, gold, labels, learners, report, scori
 from steadymark.operators.ordered import ranked_values
 from steadymark.plans import layers
 from steadymark.session import cut_lineage, ship_package
+from steadymark.sources.tables import expand_struct
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -81,7 +82,7 @@ def label_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language by index, decoded; source numbers serve as indices, most of them unknown."""
     documents = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
-    dictionary = labels.label_dictionary(documents, "lang")
+    dictionary = cut_lineage(labels.label_dictionary(documents, "lang"))
     index = F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("predicted_index")
     rows = documents.select("doc_id", "lang", index)
     decoded = labels.decode_labels(rows, dictionary, "predicted_index", "predicted_class")
@@ -105,6 +106,14 @@ def key_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def struct_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a struct as columns."""
+    rows = table(spark, sf_dir, "pages", "page_id", "url")
+    packed = rows.select(F.struct("page_id", labels.label_from_path(F.col("url")).alias("true_label")).alias("data"))
+    return expand_struct(packed, "data")
+
+
 # ---------------------------------------------------------------- result tables over the fact
 
 
@@ -120,10 +129,10 @@ def joined_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def unmatched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one customer side against another: groups explained but absent from the outcomes, and back."""
-    explained = standins.fact_explanations(spark, sf_dir).where("adapter_rank <> 'R'")
-    observed = standins.fact_outcomes(spark, sf_dir).where("corruption_type = 'F'")
-    return gold.unmatched_counts(explained, observed)
+    """Orders without items, and items of unknown orders."""
+    explained = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_path"))
+    observed = standins.fact_outcomes(spark, sf_dir)
+    return gold.unmatched_counts(explained, observed, ["image_path"])
 
 
 @register

@@ -1,4 +1,9 @@
-"""Class labels: taken from paths, indexed, decoded and compared."""
+"""Class labels: taken from paths, indexed, decoded and compared.
+
+Joins with a dictionary carry no hint. Give one whose size Spark knows, such as a written table
+(:func:`~steadymark.session.cut_lineage`): it is then broadcast while it is under Spark's threshold, and the
+data are not shuffled by a label that may hold a third of them.
+"""
 
 from __future__ import annotations
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steadymark.operators.labels import label_dictionary, label_from_path
+from steadymark.session import cut_lineage
 
 
 def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -36,7 +37,7 @@ def scan_images(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.
 def image_dataset(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.jpg", "*.png")) -> DataFrame:
     """:func:`scan_images` with ``label_index``, the dense index of the directory name."""
     files = scan_images(spark, root, patterns)
-    dictionary = label_dictionary(files, "true_label").withColumnRenamed("label", "true_label")
+    dictionary = cut_lineage(label_dictionary(files, "true_label").withColumnRenamed("label", "true_label"))
     return files.join(dictionary, "true_label", "left").select("image_path", "true_label", "label_index", "length")
 
 

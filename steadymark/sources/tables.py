@@ -26,6 +26,16 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return table.select(*columns) if columns else table
 
 
+def expand_struct(df: DataFrame, column: str) -> DataFrame:
+    """The fields of a struct column as columns of their own."""
+    return df.select(f"{column}.*")
+
+
+def preview(df: DataFrame, rows: int = 5) -> DataFrame:
+    """A few rows to look at, whichever come first; Spark stops reading once it has them."""
+    return df.limit(rows)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -97,6 +97,7 @@ def test_single_file_and_overwrite(spark, tmp_path):
     for n in (100, 7):
         tables.write_single_file(spark.range(n).repartition(5), str(path))
         assert len(list(path.glob("*.parquet"))) == 1 and tables.read_table(spark, str(path)).count() == n
+    assert tables.preview(spark.range(100), 3).count() == 3
     tables.write_table(spark.range(3), str(path))
     assert spark.read.parquet(str(path)).count() == 3
 
