@@ -148,7 +148,8 @@ def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def global_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = cut_lineage(fact(spark, sf_dir))
-    return tidy(gold.global_profile(joined, gold.cell_table(joined)), 5)
+    ranked = ranked_values(joined, gold.METRICS, gold.TARGET)
+    return tidy(gold.global_profile(ranked, gold.cell_table(joined)), 5)
 
 
 @register

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadymark.functions.corruption import LEVELS
-from steadymark.operators.ordered import exact_quantiles, ranked_values
+from steadymark.operators.ordered import exact_quantiles
 
 METRICS = ("entropy", "sparsity", "deletion_score", "insertion_score")
 CELL = ("adapter_rank", "corruption_type", "corruption_level")
@@ -164,11 +164,11 @@ def degradation(cells: DataFrame, by: Sequence[str] = ("adapter_rank", "corrupti
     )
 
 
-def global_profile(
-    joined: DataFrame, cells: DataFrame, metrics: Sequence[str] = METRICS, target: str = TARGET, buckets: int | None = None
-) -> DataFrame:
-    """One row: mean, std, min, max, median and quartiles of every metric over all joined rows."""
-    ranked = ranked_values(joined, metrics, target, buckets=buckets)
+def global_profile(ranked: DataFrame, cells: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """One row: mean, std, min, max, median and quartiles of every metric over all joined rows.
+
+    ``ranked`` is :func:`~steadymark.operators.ordered.ranked_values` of the joined rows.
+    """
     quantiles = exact_quantiles(ranked, [0.5, 0.25, 0.75])
     moments = roll_up(cells, [], metrics)
     per_feature = F.array(*[

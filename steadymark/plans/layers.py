@@ -25,6 +25,7 @@ from steadymark.operators.scoring import (
     silver_linear,
 )
 from steadymark.operators.workload import ADAPTER_RANKS, adapters, cluster_by_model, expand
+from steadymark.session import cut_lineage
 from steadymark.sources.tables import save_model, write_single_file, write_table
 
 BRONZE = T.StructType([
@@ -161,17 +162,17 @@ def gold_tables(
 ) -> dict[str, DataFrame]:
     """All result tables that need no classifier, as lazy DataFrames over one cell table."""
     joined = gold.join_outcomes(explanations, results)
-    return tables_from(joined, gold.cell_table(joined), threshold)
+    return tables_from(ranked_values(joined, gold.METRICS, gold.TARGET), gold.cell_table(joined), threshold)
 
 
-def tables_from(joined: DataFrame, cells: DataFrame, threshold: float = 0.8) -> dict[str, DataFrame]:
+def tables_from(ranked: DataFrame, cells: DataFrame, threshold: float = 0.8) -> dict[str, DataFrame]:
+    """The tables from ranked metric values and cells, the only two readings of the joined rows."""
     degraded = gold.degradation(cells)
     summary = gold.adapter_summary(cells)
-    ranked = ranked_values(joined, gold.METRICS, gold.TARGET)
     return {
         "base_stats": gold.base_stats(cells),
         "degradation": degraded,
-        "xai_global": gold.global_profile(joined, cells),
+        "xai_global": gold.global_profile(ranked, cells),
         "adapter_summary": summary,
         "corruption_impact": gold.corruption_impact(cells),
         "feature_separation": gold.feature_separation(cells),
@@ -203,7 +204,10 @@ def run_gold(
     write_single_file(gold.cell_table(joined), f"{root}/_cells.parquet")
     cells = spark.read.parquet(f"{root}/_cells.parquet")
 
-    tables = tables_from(joined, cells, threshold)
+    # Ranked once for the profile and the correlations.
+    ranked = cut_lineage(ranked_values(joined, gold.METRICS, gold.TARGET))
+
+    tables = tables_from(ranked, cells, threshold)
     for name, table in tables.items():
         write_single_file(table, f"{root}/{name}.parquet")
 
