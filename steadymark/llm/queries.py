@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steadymark.llm import token_files, url_trust
+from steadymark.llm import packing, token_files, url_trust
 from steadymark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"))
 
