@@ -16,6 +16,8 @@ from steadymark.session import ensure_checkpoint_dir, ship_package
 
 #: Bits of a bitmap that is sent to all tasks: 8 MB, whatever the size of the data.
 BITMAP_BITS = 1 << 26
+#: Rows of a narrow table up to which it is sent to all tasks, about 40 MB at most; beyond, both sides of its join are shuffled.
+SMALL_ROWS = 500_000
 #: Entries of a worker's word cache before it starts afresh.
 CACHED_WORDS = 1 << 20
 #: Rows and bytes of an Arrow batch that an operator hands back.

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadymark.llm.common import CACHED_WORDS, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, scratch, shingles
+from steadymark.llm.common import CACHED_WORDS, SMALL_ROWS, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, scratch, shingles
 from steadymark.llm.token_files import ddl
 
 SPAN = 8
@@ -23,8 +23,6 @@ SPAN = 8
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 5, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 3, 5, 7))
 #: Most words of an overlap that is judged, and the share of them that must be equal.
 OVERLAP, SHARE = 25, 0.8
-#: Rows of the test side up to which it is sent to all tasks, at most about 40 MB; beyond, both sides are shuffled.
-SMALL_ROWS = 500_000
 PUNCTUATION = b".,;:!?\"'()[]{}<>*_-"
 
 _SEEDS = pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("item_pos", pa.int64()), ("seed", pa.int64())])

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymark.llm import decontaminate, neighbours, packing, token_files, url_trust
+from steadymark.llm import decontaminate, neighbours, packing, private_terms, token_files, url_trust
 from steadymark.llm.common import table
 
 
+def op3_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_terms.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
