@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymark.llm import decontaminate, language_id, neighbours, packing, private_terms, token_files, url_trust
+from steadymark.llm import decontaminate, jaccard_join, language_id, neighbours, packing, private_terms, token_files, url_trust
 from steadymark.llm.common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_terms.digest(table(spark, sf_dir, "documents"))
 
