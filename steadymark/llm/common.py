@@ -125,11 +125,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Odd multipliers of the words of a shingle, by a rule: 64-bit golden ratio times odd numbers.
-def _multiplier(place: int) -> np.uint64:
-    return np.uint64((0x9E3779B97F4A7C15 * (2 * place + 1)) % 2**64 | 1)
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     values = values ^ (values >> np.uint64(30))
@@ -140,6 +135,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
+def _multiplier(place: int) -> np.uint64:
+    """An odd number for a place in a shingle; those of different places have no relation."""
+    return mixed(np.array([place + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1)
+
+
 def shingles(words: np.ndarray, size: int, offsets: Iterable[int] | None = None) -> np.ndarray:
     """Hashes of all runs of ``size`` words, or of the words at ``offsets`` of each run."""
     count = len(words) - size + 1
