@@ -15,12 +15,13 @@ import numpy as np
 #: The vocabularies of the queries, by the files of the public package.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
+#: Chunks in the cache; the older half goes when it is full.
 CACHED_CHUNKS = 1 << 20
 #: Characters of a text that are cut into chunks at once.
 SLICE = 1 << 20
 MARK = "<|endoftext|>"
-#: Space next to other white space: there the byte-level split looks at more than one character.
-_NEIGHBOURS = re.compile(r"\s[ \n]|[ \n]\s")
+#: White space in a row: there the byte-level split looks at more than one character.
+_NEIGHBOURS = re.compile(r"\s\s")
 #: Characters that only Python takes for white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -45,6 +46,8 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.plain.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = name == BYTE_BPE
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stops = {stop: self._whole(stop) for stop in ",."}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -65,16 +68,25 @@ class ChunkEncoder:
         return chunk[1:] if chunk[:1] == "\r" else f" {chunk}"
 
     def _learn(self, chunks: set[str]) -> None:
-        new = chunks - self.cache.keys()
-        if len(self.cache) + len(new) > CACHED_CHUNKS:
-            self.cache.clear()
-            new = chunks
-        odd = [c for c in new if "<|" in c or (self.keeps_space and c[:1] == "\r") or not c]
+        """Have the ids of all chunks in the cache. Of a word and the comma or period after it, each has ids of its own."""
+        if len(self.cache) > CACHED_CHUNKS // 2:
+            self.older, self.cache = self.cache, {}
+        new = chunks.difference(self.cache)
+        stems: dict[str, str] = {}
+        wanted = set()
+        for chunk in new:
+            stem = chunk[:-1] if chunk[-1:] in self.stops and chunk[-2:-1].lower()[-1:].isalnum() else chunk
+            stems[chunk] = stem
+            if stem in self.older:
+                self.cache[stem] = self.older[stem]
+            elif stem not in self.cache:
+                wanted.add(stem)
+        odd = [c for c in wanted if "<|" in c or (self.keeps_space and c[:1] == "\r") or not c]
         for chunk in odd:
             self.cache[chunk] = self._whole(self._text_of(chunk))
-        chunks = list(new.difference(odd))
-        for i in range(0, len(chunks), 2000):
-            some = chunks[i : i + 2000]
+        ordered = list(wanted.difference(odd))
+        for i in range(0, len(ordered), 2000):
+            some = ordered[i : i + 2000]
             text = MARK.join(map(self._text_of, some))
             ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * self.dtype.itemsize
@@ -82,6 +94,9 @@ class ChunkEncoder:
             for chunk, end in zip(some, ends.tolist(), strict=True):
                 self.cache[chunk] = data[start:end]
                 start = end + self.dtype.itemsize
+        for chunk, stem in stems.items():
+            if chunk is not stem:
+                self.cache[chunk] = self.cache[stem] + self.stops[chunk[-1]]
 
     def _slices(self, text: str) -> Iterator[str]:
         """A long text in parts that begin at a space between two other characters."""
