@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymark.llm import decontaminate, jaccard_join, language_id, neighbours, packing, private_terms, token_files, url_trust
+from steadymark.llm import decontaminate, jaccard_join, language_id, neighbours, packing, private_terms, recurrent_lm, token_files, url_trust
 from steadymark.llm.common import table
 
 
@@ -41,5 +41,9 @@ def op9_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
