@@ -267,6 +267,14 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with only the document of each component that names it; a row with a null ``doc_id`` stays."""
-    kept = joined(docs, words, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(side(kept), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with only the document of each component that names it.
+
+    Of rows that repeat ``doc_id`` and text one stays; rows with a null ``doc_id`` all stay.
+    """
+    gone = joined(docs, words, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(side(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return left.join(side(repeated), "doc_id", "left_anti").select(*docs.columns).union(once)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymark.llm import decontaminate, jaccard_join, language_id, neighbours, packing, private_terms, recurrent_lm, token_files, url_trust
+from steadymark.llm import decontaminate, jaccard_join, language_id, neighbours, packing, private_terms, recurrent_lm, substring_dedup, token_files, url_trust
 from steadymark.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_terms.digest(table(spark, sf_dir, "documents"))
 
