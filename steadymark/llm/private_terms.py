@@ -239,9 +239,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession) as s:
         added = s.cut(added_spans(docs, s.cut(find(docs)), s))
-        of_doc = keep(added.groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("text_key", "added")).alias("span_added")))
+        name, spans = (next(n for i in range(len(docs.columns) + 1) if (n := f"{stem}_{i}") not in docs.columns) for stem in ("of", "spans"))
+        of_doc = keep(added.groupBy(F.col("doc_id").alias(name)).agg(F.collect_list(F.struct("text_key", "added")).alias(spans)))
     side = F.broadcast if of_doc.count() <= SMALL_ROWS else (lambda df: df)
-    joined = docs.join(side(of_doc), F.col("doc_id").eqNullSafe(F.col("span_doc_id")), "left").drop("span_doc_id")
+    joined = docs.join(side(of_doc), F.col("doc_id").eqNullSafe(F.col(name)), "left").drop(name)
     place = docs.columns.index("text")
 
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
