@@ -25,7 +25,7 @@ def corpus():
     texts += [" ".join(words(rng, 40, "c") + passage + words(rng, 30, "d")) for _ in range(5)]
     texts += [None, None, "", "   \n\t ", "one", "one", "two words", "Two  WORDS", "a b c", "!!! ???", "日本語 テキスト"]
     texts += [texts[0]] * 4 + [" ".join(words(rng, 9000, "long"))] + ["same " * 3000]
-    texts += ["mail ann.b+c@x-y.example.org now, or 10.0.0.255 and 10.0.0.256, +1 (555) 010-9999 4111 1111 1111 1111."]
+    texts += ["mail ann.b+c@x-y.example.org now, or 10.0.0.255 and 10.0.0.256, +1 (555) 010-9999, 4111 1111 1111 1111."]
     rows = [(i, t, ("en", "fr")[i % 2] if i % 7 else None, None, len(t or ""), "k", 1, 2, "o", "s", 3) for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (4, "another text for an id that repeats", *rows[4][2:]), (None, texts[5], *rows[5][2:]), (None, None, *rows[5][2:]), (-8, texts[9], *rows[5][2:])]
     return rows
