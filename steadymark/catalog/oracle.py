@@ -103,26 +103,27 @@ PIXELS = """px AS (
   SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"""
 CENTRES = "centres AS (SELECT label AS k, i, avg(v) AS c FROM px GROUP BY 1, 2)"
 MODELS = """adapters AS (SELECT unnest([4, 16, 32]) AS a),
-biases AS (SELECT a, k, -0.5 * sum(c * c) AS b FROM centres, adapters WHERE i < a GROUP BY 1, 2)"""
+weights AS (SELECT a, k, i, sum(c) OVER (PARTITION BY a, k, i % a) AS c FROM centres, adapters),
+biases AS (SELECT a, k, -0.5 * sum(c * c) AS b FROM weights WHERE i < a GROUP BY 1, 2)"""
 SEEN = """seen AS (
-  SELECT vec_id, label, a, i, v, abs(v) / (sum(abs(v)) OVER image + 1e-10) AS h, avg(v) OVER image AS fill
-  FROM px, adapters WHERE i < a WINDOW image AS (PARTITION BY vec_id, a))"""
+  SELECT vec_id, label, a, i, v, abs(v) / (sum(abs(v)) OVER image + 1e-10) AS h, avg(v) OVER image AS fill, count(*) OVER image AS patches
+  FROM px, adapters WINDOW image AS (PARTITION BY vec_id, a))"""
 CLEAN = """clean_logits AS (
   SELECT vec_id, label, a, k, sum(v * c) + any_value(b) AS z
-  FROM seen JOIN centres USING (i) JOIN biases USING (a, k) GROUP BY 1, 2, 3, 4),
+  FROM seen JOIN weights USING (a, i) JOIN biases USING (a, k) GROUP BY 1, 2, 3, 4),
 clean AS (
   SELECT vec_id, label, a, arg_min(k, (-z, k)) AS predicted,
          1 / sum(exp(z - top)) AS confidence
   FROM (SELECT *, max(z) OVER (PARTITION BY vec_id, a) AS top FROM clean_logits) GROUP BY 1, 2, 3)"""
 CURVES = """placed AS (
-  SELECT *, row_number() OVER (PARTITION BY vec_id, a ORDER BY h DESC, i) - 1 AS place, greatest(1, a // 10) AS size FROM seen),
+  SELECT *, row_number() OVER (PARTITION BY vec_id, a ORDER BY h DESC, i) - 1 AS place, greatest(1, patches // 10) AS size FROM seen),
 masks AS (
-  SELECT *, unnest(range(0, (a + size - 1) // size + 1)) AS step FROM placed),
+  SELECT *, unnest(range(0, (patches + size - 1) // size + 1)) AS step FROM placed),
 mask_logits AS (
   SELECT vec_id, a, step, k,
          sum(c * CASE WHEN place < step * size THEN fill ELSE v END) + any_value(b) AS del,
          sum(c * CASE WHEN place < step * size THEN v ELSE 0 END) + any_value(b) AS ins
-  FROM masks JOIN centres USING (i) JOIN biases USING (a, k) GROUP BY 1, 2, 3, 4),
+  FROM masks JOIN weights USING (a, i) JOIN biases USING (a, k) GROUP BY 1, 2, 3, 4),
 mask_scores AS (
   SELECT l.vec_id, l.a, step,
          max(exp(del - dtop)) FILTER (k = predicted) / sum(exp(del - dtop)) AS del,
@@ -137,8 +138,8 @@ curves AS (
          (sum(ins) - (arg_min(ins, step) + arg_max(ins, step)) / 2) / (count(*) - 1) AS insertion_score
   FROM mask_scores GROUP BY 1, 2)"""
 MAPS = """maps AS (
-  SELECT vec_id, a, -sum((h + 1e-10) * log2(h + 1e-10)) / log2(a) AS entropy,
-         1 - 2.0 / a * sum((a - place + 0.5) * h / (whole + 1e-10)) AS sparsity
+  SELECT vec_id, a, -sum((h + 1e-10) * log2(h + 1e-10)) / log2(any_value(patches)) AS entropy,
+         1 - 2.0 / any_value(patches) * sum((patches - place + 0.5) * h / (whole + 1e-10)) AS sparsity
   FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, a ORDER BY h) AS place,
                sum(h) OVER (PARTITION BY vec_id, a) AS whole FROM seen) GROUP BY 1, 2)"""
 SILVER_M1 = """silver AS (
@@ -176,7 +177,7 @@ blur AS (
 OOD_M1 = """corrupted AS (FROM contrast UNION ALL BY NAME FROM noise UNION ALL BY NAME FROM blur),
 ood_logits AS (
   SELECT vec_id, label, kind, level, a, k, sum(v * c) + any_value(b) AS z
-  FROM corrupted JOIN adapters ON i < a JOIN centres USING (i) JOIN biases USING (a, k) GROUP BY ALL),
+  FROM corrupted JOIN weights USING (i) JOIN biases USING (a, k) GROUP BY ALL),
 ood AS (
   SELECT vec_id AS image_path, kind AS corruption_type, level AS corruption_level, a AS adapter_rank,
          arg_min(k, (-z, k))::VARCHAR AS predicted_class, label::VARCHAR AS true_label,
@@ -442,13 +443,13 @@ running AS (SELECT *, sum(n) OVER down AS n_above, sum(y) OVER down AS y_above F
   WINDOW down AS (PARTITION BY l_returnflag ORDER BY score DESC))
 SELECT l_returnflag, {r('sum(y::DOUBLE * y_above / n_above) / sum(y)')} AS avg_precision FROM running GROUP BY 1"""
     sql["brier"] = scored + f"SELECT l_returnflag, {r('avg((score - y) * (score - y))')} AS brier FROM rows GROUP BY 1"
-    sql["permuted_column"] = cte(SILVER, OOD, JOINED, """base AS (
-  SELECT row_key, entropy, rep FROM joined, (VALUES (1), (2)) t(rep)),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', row_key, rep, '42')), row_key) AS taker,
-    row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', row_key, rep, '42|entropy')), row_key) AS donor FROM base)""") + (
-        f"SELECT t.row_key, t.rep::BIGINT AS rep, {r('t.entropy')} AS entropy, {r('d.entropy')} AS permuted "
-        "FROM placed t JOIN placed d ON t.rep = d.rep AND t.taker = d.donor"
+    sql["permuted_column"] = cte(SILVER, OOD, JOINED, """placed AS (
+  SELECT row_key, entropy, row_number() OVER (ORDER BY md5(concat_ws('|', row_key, '42')), row_key) - 1 AS place FROM joined),
+digests AS (SELECT rep, md5(concat('42|entropy|', rep)) AS d, (SELECT count(*) FROM placed) AS n FROM (VALUES (1), (2)) t(rep)),
+starts AS (SELECT *, 524288 + concat('0x', d[1:8])::BIGINT % 524288 AS low, concat('0x', d[9:16])::BIGINT % n AS b FROM digests),
+maps AS (SELECT rep, n, b, min(low + step) AS a FROM starts, range(1000) s(step) WHERE gcd(low + step, n) = 1 GROUP BY ALL)""") + (
+        f"SELECT t.row_key, rep::BIGINT AS rep, {r('t.entropy')} AS entropy, {r('d.entropy')} AS permuted "
+        "FROM (SELECT *, (a * place + b) % n AS donor FROM placed, maps) t JOIN placed d ON d.place = t.donor"
     )
     sql["resource_stats"] = (
         "SELECT event_type, coalesce(round(avg(value), 2), 0.0) AS avg_value, coalesce(round(max(value), 2), 0.0) AS max_value "

@@ -247,8 +247,8 @@ def association_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised magnitudes under every model."""
-    seen = F.slice(as_doubles(F.col("vector")), F.lit(1), F.col("adapter_rank"))
+    """Normalised magnitudes of all values, for every model."""
+    seen = as_doubles(F.col("vector"))
     work = workload.model_workload(images(spark, sf_dir))
     return work.select("image_path", "adapter_rank", explanation.normalise(F.transform(seen, F.abs)).alias("heatmap"))
 
@@ -384,16 +384,16 @@ def robustness_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class CentroidPredictor:
-    """The linear model as an opaque Python predictor; it sees the leading values of a vector."""
+    """The linear model as an opaque Python predictor."""
 
     def __init__(self, weights, bias):
         self.weights, self.bias = weights, bias
 
     def predict(self, batch):
-        return batch[:, : self.weights.shape[1]] @ self.weights.T + self.bias
+        return batch @ self.weights.T + self.bias
 
     def attend(self, batch):
-        seen = np.abs(batch[:, : self.weights.shape[1]])
+        seen = np.abs(batch)
         return seen / (seen.sum(axis=1, keepdims=True) + 1e-10)
 
 
@@ -418,7 +418,7 @@ def batch_score_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_explain_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves of an opaque predictor over given heatmaps, every mask rescored."""
     scorer = models(spark, sf_dir)
-    seen = F.slice(as_doubles(F.col("vector")), F.lit(1), F.col("adapter_rank"))
+    seen = as_doubles(F.col("vector"))
     work = workload.model_workload(work_images(spark, sf_dir)).select(
         "image_path", "adapter_rank", seen.alias("vector"), explanation.normalise(F.transform(seen, F.abs)).alias("weight")
     )
@@ -524,7 +524,7 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = cut_lineage(fact(spark, sf_dir, "row_key").select("row_key", "entropy"))
+    joined = fact(spark, sf_dir, "row_key").select("row_key", "entropy")
     return tidy(splits.permute_column(joined, ["row_key"], "entropy", repeats=2))
 
 

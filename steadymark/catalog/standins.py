@@ -1,7 +1,7 @@
 """How the given tables stand in for the pipeline's inputs.
 
-* ``embeddings`` are 8 x 8 one-channel images with a label; model r is a nearest-centroid scorer that
-  sees the first r values, and its heatmap is their magnitude.
+* ``embeddings`` are 8 x 8 one-channel images with a label; model r is a nearest-centroid scorer on
+  r sums of their values, and its heatmap is the magnitude of the values.
 * ``lineitem`` is a large (metric, outcome) fact: groups of an order are explained, its rows are outcomes.
 * ``labels``, ``documents``, ``pages`` and ``events`` serve the small operators.
 """

@@ -33,7 +33,7 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 @dataclass(frozen=True)
 class LinearModels:
-    """One linear model per adapter rank: model r sees the first r values of a vector."""
+    """One linear model per adapter rank, with a weight for every value of a vector."""
 
     labels: tuple[str, ...]
     weights: Mapping[int, np.ndarray]
@@ -51,12 +51,15 @@ class LinearModels:
 def fit_centroids(
     df: DataFrame, vector: str, label: str, ranks: Sequence[int] = ADAPTER_RANKS, max_classes: int = MAX_CLASSES
 ) -> LinearModels:
-    """Nearest-centroid models: ``logit_k = x . c_k - |c_k|^2 / 2`` on the first r values.
+    """Nearest-centroid models of rank r: a vector is mapped to r values, z_j = sum of x_i with i mod r = j, and
+    ``logit_k = z . c_k - |c_k|^2 / 2`` with the class means c of z.
 
-    The class means are one partial aggregation; only one row per class reaches the driver.
+    As the map is linear, a model is kept as weights of all values of x. The class means are one partial
+    aggregation; only one row per class reaches the driver. Rows without a label are not learned from.
     """
     means = (
-        df.groupBy(F.col(label).cast("string").alias("label"))
+        df.where(F.col(label).isNotNull())
+        .groupBy(F.col(label).cast("string").alias("label"))
         .agg(vector_to_array(Summarizer.mean(array_to_vector(as_doubles(F.col(vector))))).alias("centre"))
         .take(max_classes + 1)
     )
@@ -64,16 +67,18 @@ def fit_centroids(
         raise ValueError(f"more than {max_classes} classes in column {label!r}")
     means = sorted(means, key=lambda row: row["label"])
     centres = np.array([row["centre"] for row in means])
-    weights = {rank: centres[:, :rank] for rank in ranks}
-    bias = {rank: -0.5 * (w * w).sum(axis=1) for rank, w in weights.items()}
+    weights, bias = {}, {}
+    for rank in ranks:
+        place = np.arange(centres.shape[1]) % rank
+        folded = np.stack([centres[:, place == j].sum(axis=1) for j in range(rank)], axis=1)
+        weights[rank], bias[rank] = folded[:, place], -0.5 * (folded * folded).sum(axis=1)
     return LinearModels(tuple(row["label"] for row in means), weights, bias)
 
 
 def score_linear(workload: DataFrame, models: LinearModels, vector: str = "vector", label: str = "true_label") -> DataFrame:
     """Add ``predicted_index``, ``predicted_class`` and ``is_correct`` for each (row, adapter)."""
     joined = workload.join(models.frame(workload.sparkSession), "adapter_rank")
-    seen = F.slice(F.col(vector), F.lit(1), F.col("adapter_rank"))
-    scored = joined.withColumn("predicted_index", argmax(linear_logits(seen, F.col("weights"), F.col("bias"))))
+    scored = joined.withColumn("predicted_index", argmax(linear_logits(F.col(vector), F.col("weights"), F.col("bias"))))
     # array_position is 0 for an unknown label: its index becomes -1, which no prediction equals.
     truth = F.array_position("labels", F.col(label).cast("string")) - 1
     return (
@@ -95,14 +100,14 @@ def silver_linear(
 ) -> DataFrame:
     """images x models with entropy, sparsity, deletion and insertion score of one heatmap.
 
-    The heatmap is the normalised magnitude of the values the model sees; the curves follow the
+    The heatmap is the normalised magnitude of the values; the curves follow the
     confidence in the *predicted* class. The whole step is one narrow projection per image.
     """
     workload = model_workload(images, list(models.weights)).join(models.frame(images.sparkSession), "adapter_rank")
     x, h, weights, bias, predicted = (F.col(c) for c in ("_x", "_h", "weights", "bias", "predicted_index"))
     curve = (x, h, weights, bias, predicted, steps, grid)
     return (
-        workload.withColumn("_x", F.slice(F.col(vector), F.lit(1), F.col("adapter_rank")))
+        workload.withColumn("_x", F.col(vector))
         .withColumns({"_h": normalise(F.transform(x, F.abs)), "_logits": linear_logits(x, weights, bias)})
         .withColumn("predicted_index", argmax(F.col("_logits")))
         .select(

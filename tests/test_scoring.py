@@ -22,8 +22,28 @@ def test_centroids_equal_numpy(spark, sf_dir, models):
     rows = standins.images(spark, sf_dir).toPandas()
     for k, name in enumerate(models.labels):
         mine = np.stack(rows[rows["true_label"] == int(name)]["vector"].to_numpy()).astype(float).mean(axis=0)
-        assert models.weights[32][k] == pytest.approx(mine[:32])
-        assert models.bias[16][k] == pytest.approx(-0.5 * (mine[:16] ** 2).sum())
+        for rank in models.weights:
+            folded = np.array([mine[j::rank].sum() for j in range(rank)])
+            assert models.weights[rank][k] == pytest.approx(folded[np.arange(64) % rank])
+            assert models.bias[rank][k] == pytest.approx(-0.5 * (folded**2).sum())
+
+
+def test_every_model_sees_the_last_value(spark, models):
+    base = [0.01 * i for i in range(64)]
+    changed = [*base[:-1], base[-1] + 3.0]
+    for rank in models.weights:
+        predictor = CentroidPredictor(models.weights[rank], models.bias[rank])
+        scores = predictor.predict(np.array([base, changed]))
+        assert not np.allclose(scores[0], scores[1])
+    df = spark.createDataFrame([(1, "0", base), (2, "0", changed)], "image_path int, true_label string, vector array<double>")
+    got = {(r["image_path"], r["adapter_rank"]): r["confidence"] for r in layers.silver(df, models).collect()}
+    assert all(got[1, rank] != got[2, rank] for rank in models.weights)
+
+
+def test_rows_without_a_label_are_not_learned_from(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 2.0]), (None, [9.0, 9.0])], "l string, v array<double>")
+    fitted = scoring.fit_centroids(df, "v", "l", ranks=[2])
+    assert fitted.labels == ("a",) and fitted.weights[2].tolist() == [[2.0, 2.0]]
 
 
 def test_too_many_classes_are_refused(spark, sf_dir):
@@ -61,7 +81,7 @@ def test_a_model_is_built_once_per_task_and_switched_rarely(spark, sf_dir):
     def load():
         def get(rank):
             counter.add(1)
-            return CentroidPredictor(np.zeros((2, 4)), np.zeros(2))
+            return CentroidPredictor(np.zeros((2, 64)), np.zeros(2))
 
         return get
 
