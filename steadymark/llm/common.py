@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +21,21 @@ BITMAP_BITS = 1 << 26
 #: Rows of a narrow table up to which it is sent to all tasks, about 40 MB at most; beyond, both sides of its join are shuffled.
 SMALL_ROWS = 500_000
 #: Entries of a worker's word cache before it starts afresh.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 #: Rows and bytes of an Arrow batch that an operator hands back.
 BATCH_ROWS = 8192
 BATCH_BYTES = 16 << 20
 
 
+#: Arrow batches are bounded by bytes as well as rows: a text may be very long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; this package is sent to the executors along with it."""
+    """A given table; this package is sent to the executors along with it, and :data:`ARROW` is set."""
     ship_package(spark)
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -100,6 +108,7 @@ def may_hold(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(words)
 
     def keep_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             values = batch.column(column).fill_null(-1).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(in_bitmap(shared.value, values)))
@@ -155,8 +164,17 @@ def as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def release() -> None:
+    """Give back what earlier tasks of this worker have freed: their caches fragment its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches_of(schema: pa.Schema, rows: Iterable[tuple], size: Callable[[tuple], int] = lambda row: 64) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded rows and bytes."""
+    release()
     held: list[tuple] = []
     held_bytes = 0
     for row in rows:
