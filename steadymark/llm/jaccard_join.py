@@ -3,9 +3,9 @@
 Documents become sets of shingle hashes; equal sets are one. Similar sets are partitioned into groups: sets
 that share their least shingle and are linked with its leader. The matrix is stored by token: which groups
 have it among the tokens that a member must share with any set linked to it. A set looks its own such tokens
-up and gets the groups it may be linked to. Those are read, the overlap with the union of a group's tokens
-bounds the overlap with each member, and only if the bound suffices is the group opened and compared member
-by member. Members of one group are known to be connected, so one link to a group is enough.
+up and counts those it shares with a group, which bounds its overlap with each member. Groups that may hold a
+linked set are read; the overlap with the union of all of a group's tokens bounds it again, and only if that
+suffices is the group opened and compared member by member. Members of one group are known to be connected, so one link to a group is enough.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadymark.llm.common import SMALL_ROWS, Scratch, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, may_hold, scratch, shingles
@@ -35,7 +35,7 @@ ROUNDS = 4
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("low", pa.int64()), ("tokens", pa.binary())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_POSTINGS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("chunk", pa.int64())])
+_POSTINGS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("chunk", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
 
 
 def side(df: DataFrame) -> DataFrame:
@@ -187,11 +187,24 @@ def candidates(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
         if not (more & ~frequent).any():
             break
         frequent |= more
-    matrix = prefixes(sets, percent, frequent, common, False)
-    a, b = matrix.alias("a"), matrix.alias("b")
-    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cluster") < F.col("b.cluster")) & fits)
-    return pairs.select("a.doc_id", "b.cluster", "b.chunk").distinct()
+    matrix = prefixes(sets, percent, frequent, common, False).repartition("token")
+    groups = matrix.select("token", F.col("cluster").alias("of"), F.col("chunk").alias("part"), F.col("least").alias("low"), F.col("most").alias("high")).distinct()
+    fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
+    counted = matrix.join(groups, "token").where((F.col("cluster") < F.col("of")) & fits).groupBy("doc_id", "n", "of", "part", "low", "high").agg(F.count("*").alias("common"))
+    return counted.where(F.col("common") >= least_common(percent)).select("doc_id", F.col("of").alias("cluster"), F.col("part").alias("chunk")).distinct()
+
+
+def least_common(percent: int) -> Column:
+    """How many prefix tokens a set of ``n`` shares at least with the union of a group if it is linked to a member.
+
+    Of a link's common tokens, those beyond the prefix of the set whose prefix ends first are no more than the
+    rest of that set; the others are in both prefixes. Members have ``low`` to ``high`` tokens, of which the set
+    may be linked to those of a near size; the bound is least at one end, 1 is taken off for rounding.
+    """
+    n = F.col("n")
+    rest = lambda size: F.ceil(percent * size / 100) - 1
+    bound = lambda size: F.ceil(percent * (n + size) / (100 + percent)) - F.greatest(rest(n), rest(size)) - 1
+    return F.greatest(F.lit(1), F.least(bound(F.greatest("low", F.ceil(percent * n / 100))), bound(F.least("high", F.floor(100 * n / percent)))))
 
 
 def opened(s: Scratch, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -256,8 +269,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         near = grouped(s, distinct, percent)
         clusters = s.cut(components(s, near))
         chunks = clusters.groupBy("label").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-        places = s.cut(clusters.join(chunks, "label").select(F.col("id").alias("doc_id"), F.col("label").alias("cluster"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk")))
-        placed = distinct.join(side(places), "doc_id", "left").select("doc_id", "n", F.coalesce("cluster", "doc_id").alias("cluster"), F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"), "tokens")
+        dealt = clusters.join(chunks, "label").select(F.col("id").alias("doc_id"), F.col("label").alias("cluster"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
+        dealt = s.cut(dealt.join(some.select("doc_id", "n"), "doc_id"))
+        sizes = dealt.groupBy("cluster", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        places = s.cut(dealt.drop("n").distinct().join(sizes, ["cluster", "chunk"]))
+        own = lambda name, other: F.coalesce(name, other).alias(name)
+        placed = distinct.join(side(places), "doc_id", "left").select("doc_id", "n", own("cluster", "doc_id"), own("chunk", F.lit(0).cast("bigint")), own("least", "n"), own("most", "n"), "tokens")
         found = s.cut(candidates(s, placed, percent))
         links = s.cut(opened(s, placed, found, percent))
         labels = s.cut(components(s, near.union(links).union(tied)))
