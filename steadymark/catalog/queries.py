@@ -189,7 +189,7 @@ def drop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def drop_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(gold.drop_matrix(gold.degradation(fact_cells(spark, sf_dir)), ["A", "N", "R"]))
+    return tidy(gold.drop_matrix(gold.degradation(fact_cells(spark, sf_dir))))
 
 
 @register

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from steadymark.functions.corruption import LEVELS
 from steadymark.operators.ordered import exact_quantiles
 
+# Column names of the published tables.
 METRICS = ("entropy", "sparsity", "deletion_score", "insertion_score")
 CELL = ("adapter_rank", "corruption_type", "corruption_level")
 JOIN_KEYS = ("image_path", "adapter_rank")
@@ -300,8 +301,13 @@ def drop_summary(table: DataFrame) -> DataFrame:
     )
 
 
-def drop_matrix(table: DataFrame, adapters: Sequence) -> DataFrame:
-    """Corruption types as rows, adapters as columns ``drop_<adapter>``, ``drop_pct`` as value."""
+def drop_matrix(table: DataFrame, adapters: Sequence | None = None) -> DataFrame:
+    """Corruption types as rows, adapters as columns ``drop_<adapter>``, ``drop_pct`` as value.
+
+    Without ``adapters`` all of the table, read from it in order.
+    """
+    if adapters is None:
+        adapters = sorted(row[0] for row in table.select("adapter_rank").where("adapter_rank IS NOT NULL").distinct().collect())
     return table.groupBy("corruption_type").agg(*[
         F.max(F.when(F.col("adapter_rank") == a, F.col("drop_pct"))).alias(f"drop_{a}") for a in adapters
     ])

@@ -22,10 +22,14 @@ def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
-def scan_images(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.jpg", "*.png")) -> DataFrame:
+#: All image files, whatever the case of their suffix.
+IMAGES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
+
+
+def scan_images(spark: SparkSession, root: str, patterns: tuple[str, ...] = (IMAGES,)) -> DataFrame:
     """Files under ``root`` as ``image_path, true_label, length``; the content is not read.
 
-    The first pattern that matches any file is used. The executors list the tree, not the driver loop.
+    By default all image files. Of several patterns the first that matches any file is used.
     """
     for pattern in patterns:
         files = _files(spark, root, pattern).select("path", "length")
@@ -34,7 +38,7 @@ def scan_images(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.
     raise FileNotFoundError(f"no files like {', '.join(patterns)} under {root}")
 
 
-def image_dataset(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.jpg", "*.png")) -> DataFrame:
+def image_dataset(spark: SparkSession, root: str, patterns: tuple[str, ...] = (IMAGES,)) -> DataFrame:
     """:func:`scan_images` with ``label_index``, the dense index of the directory name."""
     files = scan_images(spark, root, patterns)
     dictionary = cut_lineage(label_dictionary(files, "true_label").withColumnRenamed("label", "true_label"))
@@ -58,7 +62,7 @@ def pixel_array(image: str = "image") -> Column:
 
 
 def decode_images(
-    spark: SparkSession, root: str, pattern: str = "*.jpg", observation: Observation | None = None
+    spark: SparkSession, root: str, pattern: str = IMAGES, observation: Observation | None = None
 ) -> DataFrame:
     """Decoded images as ``image_path, true_label, height, width, channels, vector``.
 

@@ -117,3 +117,13 @@ def test_tables_bucketed_alike_join_without_a_shuffle(spark):
 def test_label_of_a_nested_path(spark):
     df = spark.createDataFrame([("/r/x/y/z.png",)], "p string")
     assert df.select(label_from_path(F.col("p"))).first()[0] == "y"
+
+
+def test_all_image_suffixes_are_read(spark, tmp_path):
+    for name in ("1.png", "2.PNG"):
+        write_png(tmp_path / "cat" / name, np.full((2, 2), 9))
+    (tmp_path / "cat" / "3.jpg").write_bytes(b"junk")
+    (tmp_path / "cat" / "4.Jpeg").write_bytes(b"junk")
+    (tmp_path / "cat" / "5.txt").write_bytes(b"text")
+    assert images.scan_images(spark, str(tmp_path)).count() == 4
+    assert images.decode_images(spark, str(tmp_path)).count() == 2
