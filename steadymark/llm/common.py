@@ -27,14 +27,18 @@ BATCH_ROWS = 8192
 BATCH_BYTES = 16 << 20
 
 
-#: Arrow batches are bounded by bytes as well as rows: a text may be very long.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Batches of long values are kept small: those read from Parquet by rows, those for Python by bytes as well.
+BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; this package is sent to the executors along with it, and :data:`ARROW` is set."""
+    """A given table; this package is sent to the executors along with it, and :data:`BATCHES` is set."""
     ship_package(spark)
-    for key, value in ARROW.items():
+    for key, value in BATCHES.items():
         spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

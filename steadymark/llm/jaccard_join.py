@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steadymark.llm.common import SMALL_ROWS, Scratch, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, may_hold, scratch, shingles
+from steadymark.llm.common import SMALL_ROWS, Scratch, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, may_hold, release, scratch, shingles
 from steadymark.llm.graph import components
 from steadymark.llm.token_files import ddl
 
@@ -95,6 +95,7 @@ def lead(sets: DataFrame, percent: int, hot: np.ndarray | None) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(hot)
 
     def parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             part = np.zeros(batch.num_rows, np.int64)
             if shared.value is not None:
@@ -151,6 +152,7 @@ def prefixes(sets: DataFrame, percent: int, frequent: np.ndarray, common: np.nda
     shared, known = context.broadcast(frequent), context.broadcast(common)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             parts, rows = [], []
             for i, data in enumerate(batch.column("tokens")):
