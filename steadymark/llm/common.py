@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from steadymark.session import ensure_checkpoint_dir, ship_package
 
-#: Bits of a bitmap that is sent to all tasks: 8 MB, whatever the size of the data.
-BITMAP_BITS = 1 << 26
+#: Bits of a bitmap that is sent to all tasks: 8 MB at most, whatever the size of the data; below that, bits for each value.
+BITMAP_BITS, BITS_A_VALUE = 1 << 26, 64
 #: Rows of a narrow table up to which it is sent to all tasks, about 40 MB at most; beyond, both sides of its join are shuffled.
 SMALL_ROWS = 500_000
 #: Entries of a worker's word cache before it starts afresh.
@@ -63,6 +63,11 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df))
 
+    def free_shuffles(self) -> None:
+        """Let the shuffle files of finished steps go, which otherwise stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -83,12 +88,14 @@ def keep(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).cut(df)
 
 
-def bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """The values of a long column, modulo ``bits``, as a bitmap of fixed size on the driver.
+def bitmap(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """The values of a long column, modulo ``bits`` (a power of two), as a bitmap on the driver.
 
+    Without ``bits`` the size follows the number of rows up to :data:`BITMAP_BITS`.
     Values are combined on the executors: at most ``bits / 64`` rows arrive, whatever ``df`` holds.
     A set bit means that a value may be there, a clear one that it is not.
     """
+    bits = bits or min(BITMAP_BITS, 1 << max(16, (BITS_A_VALUE * df.count()).bit_length()))
     place = F.pmod(F.col(column), F.lit(bits))
     rows = (
         df.where(F.col(column).isNotNull())

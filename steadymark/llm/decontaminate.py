@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadymark.llm.common import CACHED_WORDS, SMALL_ROWS, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, scratch, shingles
+from steadymark.llm.common import BITMAP_BITS, CACHED_WORDS, SMALL_ROWS, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, scratch, shingles
 from steadymark.llm.token_files import ddl
 
 SPAN = 8
@@ -149,7 +149,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as s:
         seeds, words = (s.cut(t) for t in test_tables(items.where(F.col("item_id").isNotNull())))
         seeds = seeds.distinct()
-        found = s.cut(regions(docs, bitmap(seeds, "seed")).dropDuplicates(["doc_id", "region"]))
+        found = s.cut(regions(docs, bitmap(seeds, "seed", BITMAP_BITS)).dropDuplicates(["doc_id", "region"]))
         small = seeds.count() <= SMALL_ROWS
         side = F.broadcast if small else (lambda df: df)
         hits = found.select("region", F.explode(F.arrays_zip("places", "seeds")).alias("hit")).select("region", F.col("hit.places").alias("place"), F.col("hit.seeds").alias("seed"))

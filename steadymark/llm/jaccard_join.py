@@ -30,6 +30,8 @@ GROUP, LEADERS = 64, 32
 HOT_KEY, PARTS = 4096, 64
 #: Groups that may have a token before it is put last in the order of tokens.
 FREQUENT = 32
+#: Bits of the bitmap that says which tokens are frequent.
+FREQUENT_BITS = 1 << 22
 #: Rounds of looking for frequent tokens among those that replace others.
 ROUNDS = 4
 
@@ -182,10 +184,10 @@ def candidates(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     none = np.zeros(1, np.uint64)
     counted = s.cut(prefixes(sets, percent, none, None, False).groupBy("token").agg(F.count("*").alias("n"), leads).where("n > 1"))
     common = bitmap(counted, "token")
-    frequent = bitmap(counted.where(F.col("leads") > FREQUENT), "token")
+    frequent = bitmap(counted.where(F.col("leads") > FREQUENT), "token", FREQUENT_BITS)
     for _ in range(ROUNDS):
         new = prefixes(sets, percent, frequent, None, True).groupBy("token").agg(leads).where(F.col("leads") > FREQUENT)
-        more = bitmap(new, "token")
+        more = bitmap(new, "token", FREQUENT_BITS)
         if not (more & ~frequent).any():
             break
         frequent |= more
@@ -277,8 +279,11 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         places = s.cut(dealt.drop("n").distinct().join(sizes, ["cluster", "chunk"]))
         own = lambda name, other: F.coalesce(name, other).alias(name)
         placed = distinct.join(side(places), "doc_id", "left").select("doc_id", "n", own("cluster", "doc_id"), own("chunk", F.lit(0).cast("bigint")), own("least", "n"), own("most", "n"), "tokens")
+        s.free_shuffles()
         found = s.cut(candidates(s, placed, percent))
+        s.free_shuffles()
         links = s.cut(opened(s, placed, found, percent))
+        s.free_shuffles()
         labels = s.cut(components(s, near.union(links).union(tied)))
         rows = sets.select("doc_id", F.col("n").alias("n_shingles"), *signature).join(named, signature, "left")
         rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadymark.llm.common import SMALL_ROWS, Scratch, as_long, batches_of, bitmap, in_bitmap, keep, scratch
+from steadymark.llm.common import BITMAP_BITS, SMALL_ROWS, Scratch, as_long, batches_of, bitmap, in_bitmap, keep, scratch
 from steadymark.llm.token_files import ddl
 
 #: Kinds in the order that breaks ties; the method adds the last two.
@@ -137,7 +137,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term``, ``n``: how often each word that may be in ``terms`` occurs in all texts, summed in each task first."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(terms, "term"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(terms, "term", BITMAP_BITS))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
