@@ -120,6 +120,7 @@ def test_label_of_a_nested_path(spark):
 
 
 def test_all_image_suffixes_are_read(spark, tmp_path):
+    (tmp_path / "cat").mkdir()
     for name in ("1.png", "2.PNG"):
         write_png(tmp_path / "cat" / name, np.full((2, 2), 9))
     (tmp_path / "cat" / "3.jpg").write_bytes(b"junk")
