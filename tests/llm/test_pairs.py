@@ -153,3 +153,24 @@ def test_decontamination(spark, docs, no_docs):
     assert sorted((r.doc_id is None, r.doc_id) for r in decontaminate.decontaminated(table, items).collect()) == [(False, i) for i in (2, 3, 5, 7, 8, 9)] + [(True, None)]
     assert decontaminate.overlaps(no_docs, items).count() == 0 and decontaminate.overlaps(docs, items.limit(0)).count() == 0
     assert decontaminate.decontaminated(docs, items).columns == docs.columns
+
+
+def test_passages_of_one_pair_are_told_apart(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    short, long = [fresh(60) for _ in range(2)], [fresh(300) for _ in range(2)]
+    texts = [fresh(20) + s[0] + fresh(gap) + s[1] + fresh(20) for s, gap in ((short, 40), (short, 140), (long, 200), (long, 700))]
+    texts += [short[0] + fresh(10) + short[1]]  # its longest chain is accepted as a whole
+    got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    spans = {i: sorted((r.start, r.end, r.equal) for r in got if r.doc_id == i) for i in (1, 3, 4)}
+    assert spans[1] == [(20, 80, 60), (220, 280, 60)]
+    assert spans[3] == [(20, 320, 300), (1020, 1320, 300)]
+    assert spans[4] == [(0, 60, 60), (70, 130, 60)] or spans[4] == [(0, 130, 120)]
+    assert len(got) == 4 + len(spans[4])
+
+
+def test_segments_of_an_alignment():
+    equal = np.array([1] * 60 + [0] * 40 + [1] * 60 + [0] * 30 + [1] * 20, bool)
+    both = np.ones(len(equal), bool)
+    assert substring_dedup.segments(both, both, equal) == [(0, 60), (100, 160)]
+    assert substring_dedup.segments(both[:75], both[:75], equal[:75]) == [(0, 75)]
