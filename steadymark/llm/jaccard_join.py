@@ -147,7 +147,7 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def prefixes(sets: DataFrame, percent: int, frequent: np.ndarray, common: np.ndarray | None, only_new: bool) -> DataFrame:
     """The tokens of each set that it must share with any set linked to it: frequent ones last, else by value.
 
-    With ``common``, tokens that are known to be in no other set are left out. ``only_new`` gives those that
+    With ``common``, tokens that are known to be in no other set's prefix are left out. ``only_new`` gives those that
     are there only because frequent ones went last.
     """
     context = sets.sparkSession.sparkContext
@@ -165,7 +165,7 @@ def prefixes(sets: DataFrame, percent: int, frequent: np.ndarray, common: np.nda
                 if only_new:
                     order = order[order >= need]
                 elif known.value is not None:
-                    order = order[(order >= need) | in_bitmap(known.value, tokens[order])]
+                    order = order[in_bitmap(known.value, tokens[order])]
                 parts.append(as_long(tokens[order]))
                 rows.append(np.full(len(order), i))
             if not parts:
@@ -183,7 +183,6 @@ def candidates(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     leads = F.sum((F.col("doc_id") == F.col("cluster")).cast("int")).alias("leads")
     none = np.zeros(1, np.uint64)
     counted = s.cut(prefixes(sets, percent, none, None, False).groupBy("token").agg(F.count("*").alias("n"), leads).where("n > 1"))
-    common = bitmap(counted, "token")
     frequent = bitmap(counted.where(F.col("leads") > FREQUENT), "token", FREQUENT_BITS)
     for _ in range(ROUNDS):
         new = prefixes(sets, percent, frequent, None, True).groupBy("token").agg(leads).where(F.col("leads") > FREQUENT)
@@ -191,6 +190,9 @@ def candidates(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
         if not (more & ~frequent).any():
             break
         frequent |= more
+    # A token is looked up unless one first prefix alone has it and none got it because frequent ones went last.
+    added = prefixes(sets, percent, frequent, None, True).select("token").distinct()
+    common = bitmap(s.cut(counted.select("token").union(added)), "token")
     matrix = prefixes(sets, percent, frequent, common, False).repartition("token")
     groups = matrix.select("token", F.col("cluster").alias("of"), F.col("chunk").alias("part"), F.col("least").alias("low"), F.col("most").alias("high")).distinct()
     fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))

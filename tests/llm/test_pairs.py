@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from steadymark.llm import decontaminate, jaccard_join, substring_dedup
-from steadymark.llm.common import Scratch, bitmap, may_hold, shingles
+from steadymark.llm.common import Scratch, WordHashes, bitmap, may_hold, shingles
 from steadymark.llm.graph import components
 
 
@@ -174,3 +174,31 @@ def test_segments_of_an_alignment():
     both = np.ones(len(equal), bool)
     assert substring_dedup.segments(both, both, equal) == [(0, 60), (100, 160)]
     assert substring_dedup.segments(both[:75], both[:75], equal[:75]) == [(0, 75)]
+
+
+def by_value(words):
+    return sorted(words, key=lambda w: int(jaccard_join.tokens_of(WordHashes().of([w.encode()]), 1)[0]))
+
+
+def joined_words(spark, sets):
+    rows = [(i, " ".join(sorted(own))) for i, own in enumerate(sets)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.joined(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 85).collect()}
+    return got, least_linked(list(enumerate(map(frozenset, sets))), 85)
+
+
+def test_jaccard_join_where_frequent_tokens_go_last(spark):
+    x, *t = by_value([f"t{i}" for i in range(11)])
+    rare = [w for w in by_value([f"u{i}" for i in range(400)]) if by_value([t[0], w])[0] == t[0]]
+    got, label = joined_words(spark, [t, [x, *t], *([t[0], w] for w in rare[:80])])
+    assert got == label and got[1] == 0
+
+
+def test_jaccard_join_of_sets_with_many_frequent_tokens(spark):
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(40)]
+    sets = []
+    for i in range(250):
+        own = [f"r{i}_{j}" for j in range(rng.randrange(8, 25))] + rng.sample(shared, rng.randrange(10, 25))
+        sets += [own, [*own, *(f"m{i}_{j}" for j in range(int(len(own) / 0.85) - len(own)))]]
+    got, label = joined_words(spark, sets)
+    assert got == label
