@@ -276,3 +276,20 @@ def test_language_model_gradients_and_mass():
     soft = recurrent_lm.log_likelihood(p, np.repeat(one, len(every), 0), every, every // recurrent_lm.CLASS_WORDS)
     by_letters = recurrent_lm.log_likelihood(p, np.repeat(one, recurrent_lm.LETTERS, 0), every[: recurrent_lm.LETTERS], recurrent_lm.SOFT + every[: recurrent_lm.LETTERS])
     assert abs(np.exp(soft).sum() + np.exp(by_letters).sum() - 1) < 1e-9
+
+
+def test_language_model_trains_on_every_row(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "ROUNDS", 1)
+    monkeypatch.setattr(recurrent_lm, "SHARD_WORDS", 40)
+    weights = spark.sparkContext.accumulator(0)
+    train_replica = recurrent_lm.train_replica
+
+    def counted(p, vocabulary, texts, end_input):
+        weights.add(sum(map(len, texts)))
+        assert sum(map(len, texts[:-1])) < 40
+        return train_replica(p, vocabulary, texts, end_input)
+
+    monkeypatch.setattr(recurrent_lm, "train_replica", counted)
+    rows = [(i, "the same common text of seven words") for i in range(40)] + [(i, f"text {i} of its own") for i in range(40, 80)]
+    got = recurrent_lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert weights.value == got[0].train_tokens == sum(r.n_tokens for r in got if not r.held_out)
