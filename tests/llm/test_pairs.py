@@ -202,3 +202,12 @@ def test_jaccard_join_of_sets_with_many_frequent_tokens(spark):
         sets += [own, [*own, *(f"m{i}_{j}" for j in range(int(len(own) / 0.85) - len(own)))]]
     got, label = joined_words(spark, sets)
     assert got == label
+
+
+def test_passages_every_copy_in_a_text(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    own = fresh(60)
+    texts = [fresh(20) + own, fresh(30) + own + fresh(150) + own + fresh(10)]
+    got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.equal) for r in got) == [(1, 30, 90, 60), (1, 240, 300, 60)]
