@@ -535,13 +535,6 @@ def resource_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- trained classifiers
 
-#: Ensemble sizes of the registered queries. All rows are used; the published sizes (200 to 300 trees,
-#: the library's default) take many minutes for six fits of each model on one machine.
-SMALL_ENSEMBLES = {
-    learners.FOREST: {"numTrees": 10},
-    learners.BOOSTED: {"maxIter": 5},
-    learners.TUNED: {"maxIter": 8},
-}
 _TRAINED: dict[tuple[str, str], learners.TrainedModels] = {}
 
 
@@ -549,7 +542,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> learners.TrainedModels:
     """Trained once per application and data set; four tables are read from it."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _TRAINED:
-        plan = learners.TrainingPlan(keys=("row_key",), params=SMALL_ENSEMBLES)
+        plan = learners.TrainingPlan(keys=("row_key",))
         _TRAINED[at] = learners.train(fact(spark, sf_dir, "row_key"), plan)
     return _TRAINED[at]
 

@@ -153,3 +153,16 @@ def test_checkpoint_folder_of_the_session_is_used(spark):
     assert session.ensure_checkpoint_dir(spark) == named
     kept = session.cut_lineage(spark.range(10).withColumn("v", F.col("id") * 2))
     assert kept.count() == 10 and kept.inputFiles()[0].startswith(f"file://{named}/table-")
+
+
+def test_registered_training_has_published_sizes(monkeypatch):
+    from types import SimpleNamespace
+
+    from steadymark.catalog import queries
+
+    plans = []
+    monkeypatch.setattr(queries, "_TRAINED", {})
+    monkeypatch.setattr(queries, "fact", lambda *a: None)
+    monkeypatch.setattr(queries.learners, "train", lambda rows, plan: plans.append(plan))
+    queries._trained(SimpleNamespace(sparkContext=SimpleNamespace(applicationId="a")), "sf")
+    assert not plans[0].params
