@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from conftest import SF_DIR
+from paths import SF_DIR
 from tools.check_oracle import TABLES, rows
 
 from steadymark.catalog.oracle import all_sql
