@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymark.llm import decontaminate, jaccard_join, language_id, neighbours, packing, private_terms, recurrent_lm, substring_dedup, token_files, url_trust
+from steadymark.llm import decontaminate, jaccard_join, language_id, minhash_dedup, neighbours, packing, private_terms, recurrent_lm, substring_dedup, token_files, url_trust
 from steadymark.llm.common import table
 
 
@@ -49,5 +49,9 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_tensored_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.deduplicated(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 def all_queries() -> dict:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
