@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymark.llm import decontaminate, jaccard_join, language_id, minhash_dedup, neighbours, packing, periodic_runs, private_terms, recurrent_lm, substring_dedup, token_files, url_trust
+from steadymark.llm import collocations, decontaminate, jaccard_join, language_id, minhash_dedup, neighbours, packing, periodic_runs, private_terms, recurrent_lm, substring_dedup, token_files, url_trust
 from steadymark.llm.common import table
 
 
@@ -57,5 +57,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
