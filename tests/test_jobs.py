@@ -11,9 +11,9 @@ from steadymark.plans import layers
 from steadymark.sources.tables import load_model
 
 TINY = {
-    learners.FOREST: {"numTrees": 3, "maxDepth": 4},
-    learners.BOOSTED: {"maxIter": 2, "maxDepth": 3},
-    learners.TUNED: {"maxIter": 2},
+    learners.FOREST: {"trees": 3, "depth": 4},
+    learners.BOOSTED: {"trees": 2, "depth": 3},
+    learners.TUNED: {"trees": 2},
 }
 
 
@@ -72,10 +72,12 @@ def test_one_class_cannot_be_trained_on(signal):
 
 
 def test_published_settings_are_the_default():
-    forest = learners.learner(learners.FOREST, "y", 10, learners.PUBLISHED[learners.FOREST])
-    tuned = learners.learner(learners.TUNED, "y", 10, learners.PUBLISHED[learners.TUNED])
-    ridge = learners.learner(learners.LOGISTIC, "y", 1000, learners.PUBLISHED[learners.LOGISTIC])
-    assert forest.getNumTrees() == 200 and tuned.getMaxIter() == 300 and tuned.getStepSize() == 0.05
+    plan = learners.TrainingPlan()
+    forest, boosted, tuned = (learners.settings_of(n, plan) for n in (learners.FOREST, learners.BOOSTED, learners.TUNED))
+    ridge = learners.logistic("y", 1000, learners.settings_of(learners.LOGISTIC, plan))
+    assert (forest.trees, forest.depth, forest.least_split, forest.least_leaf) == (200, 12, 5, 2)
+    assert (boosted.trees, boosted.depth, boosted.rate, boosted.alpha, boosted.ridge) == (200, 6, 0.1, 0.1, 1.0)
+    assert (tuned.trees, tuned.least_gain, tuned.least_hessian, tuned.alpha, tuned.ridge) == (300, 0.1, 3.0, 0.5, 2.0)
     assert ridge.getRegParam() == pytest.approx(1 / (0.1 * 1000)) and not ridge.getStandardization()
 
 
