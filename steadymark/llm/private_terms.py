@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ _DIGIT = re.compile("[^0-9]+")
 
 _FOUND = pa.schema([
     ("doc_id", pa.int64()), ("kinds", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
-    ("entity", pa.list_(pa.int64())), ("beside", pa.list_(pa.int64())), ("owner", pa.list_(pa.int64())),
+    ("entity", pa.list_(pa.int64())), ("beside", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("owner", pa.list_(pa.int64())),
     ("term", pa.list_(pa.int64())), ("term_start", pa.list_(pa.int64())), ("term_end", pa.list_(pa.int64())), ("text_key", pa.int64()), ("n_words", pa.int64()),
 ])
 
@@ -74,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns' matches in order; a match that fails its test is dropped."""
     found = [(start, 0, end) for start, end in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -108,6 +110,12 @@ def _beside(text: str, start: int, end: int) -> list[re.Match]:
     return before[-BESIDE:] + after[:BESIDE]
 
 
+def _overlaps(opens: list[int], closes: list[int], start: int, end: int) -> bool:
+    """Whether a stretch meets a span: ``opens`` in order, ``closes`` the farthest end of the spans up to each."""
+    before = bisect_left(opens, end)
+    return before > 0 and closes[before - 1] > start
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Base spans of every document, and the words beside each: one row a document, terms and values as hashes."""
 
@@ -117,9 +125,11 @@ def find(docs: DataFrame) -> DataFrame:
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     text = text or ""
                     spans = base_spans(text)
-                    entities, surroundings, owners, terms, starts, ends = [], [], [], [], [], []
+                    entities, surroundings, held, owners, terms, starts, ends = [], [], [], [], [], [], []
+                    opens, closes = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
                     for i, (start, kind, end) in enumerate(spans):
-                        words = [m for m in _beside(text, start, end) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+                        words = [m for m in _beside(text, start, end) if not _overlaps(opens, closes, m.start(), m.end())]
+                        held.append(len(words))
                         entities.append(_hash(f"{KINDS[kind]}:{text[start:end].lower()}"))
                         surroundings.append(_hash(" ".join(m[0].lower() for m in words)))
                         for m in words:
@@ -128,9 +138,9 @@ def find(docs: DataFrame) -> DataFrame:
                             starts.append(m.start())
                             ends.append(m.end())
                     yield (doc_id, [k for _, k, _ in spans], [s for s, _, _ in spans], [e for _, _, e in spans],
-                           entities, surroundings, owners, terms, starts, ends, text_key(text), text.count(" ") + 1)
+                           entities, surroundings, held, owners, terms, starts, ends, text_key(text), text.count(" ") + 1)
 
-        yield from batches_of(_FOUND, rows(), lambda r: 100 + 24 * len(r[1]) + 40 * len(r[6]))
+        yield from batches_of(_FOUND, rows(), lambda r: 100 + 32 * len(r[1]) + 40 * len(r[7]))
 
     return docs.select("doc_id", "text").mapInArrow(search, ddl(_FOUND))
 
@@ -161,10 +171,27 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def each_span(found: DataFrame) -> DataFrame:
+    """``value``, ``around``, ``terms``: one row a span, with the words beside it and no others."""
+    spans = pa.schema([("value", pa.int64()), ("around", pa.int64()), ("terms", pa.list_(pa.int64()))])
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for values, around, held, terms in zip(*(batch.column(c).to_pylist() for c in ("entity", "beside", "held", "term")), strict=True):
+                    at = 0
+                    for value, beside, n in zip(values, around, held, strict=True):
+                        yield value, beside, terms[at : at + n]
+                        at += n
+
+        yield from batches_of(spans, rows(), lambda r: 32 + 8 * len(r[2]))
+
+    return found.select("entity", "beside", "held", "term").mapInArrow(spread, ddl(spans))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, s: Scratch) -> DataFrame:
     """``entity``, ``term``, ``share``: words that reveal a value, and how much of its information."""
-    each = found.select("entity", "beside", "owner", "term", F.posexplode("entity").alias("i", "value"))
-    beside = each.select("value", F.get("beside", "i").alias("around"), F.transform(F.filter(F.arrays_zip("owner", "term"), lambda x: x.owner == F.col("i")), lambda x: x.term).alias("terms"))
+    beside = each_span(found)
     values = beside.groupBy("value", "around").count().groupBy("value").agg(F.sum("count").alias("n_value"), F.count("*").alias("arounds")).where(F.col("arounds") >= SUPPORT)
     pairs = (
         beside.select("value", "around", F.explode(F.array_distinct("terms")).alias("term"))
@@ -182,8 +209,9 @@ def disclosing(docs: DataFrame, found: DataFrame, s: Scratch) -> DataFrame:
 def added_spans(docs: DataFrame, found: DataFrame, s: Scratch) -> DataFrame:
     """``doc_id``, ``text_key``, ``added``: the disclosing words of each document that has any."""
     reveals = s.cut(disclosing(docs, found, s))
-    words = found.where(F.size("term") > 0).select("doc_id", "text_key", "entity", F.explode(F.arrays_zip("owner", "term", "term_start", "term_end")).alias("w"))
-    words = words.select("doc_id", "text_key", F.get("entity", F.col("w.owner").cast("int")).alias("entity"), F.col("w.term").alias("term"), F.col("w.term_start").alias("start"), F.col("w.term_end").alias("end"))
+    of_value = F.transform("owner", lambda i: F.get("entity", i.cast("int"))).alias("of")
+    words = found.where(F.size("term") > 0).select("doc_id", "text_key", of_value, "term", "term_start", "term_end")
+    words = words.select("doc_id", "text_key", F.inline(F.arrays_zip("of", "term", "term_start", "term_end"))).toDF("doc_id", "text_key", "entity", "term", "start", "end")
     kind = F.when(F.col("share") >= REMOVE, KINDS.index("term")).otherwise(KINDS.index("general")).cast("bigint")
     place = words.join(reveals, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.min(kind).alias("kind"))
     return place.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))

@@ -51,6 +51,23 @@ def test_long_runs_take_linear_time():
         private_terms.base_spans(text)
 
 
+def test_parts_of_many_zeros():
+    text = "x 1.2.3." + "0" * 5000 + " y " + "0" * 6000 + "7.1.1.255 1.1.1." + "0" * 5000 + "256"
+    assert [(k, text[a:b].count(".")) for a, k, b in private_terms.base_spans(text) if k == 1] == [(1, 3), (1, 3)]
+
+
+def test_many_values_in_one_text(spark):
+    """Each value is followed by its own name; rows made from a text grow with its spans only."""
+    text = " ".join(f"Zyx{i % 50} user{i % 50}@host.example.org w{i} v{i}" for i in range(6000))
+    found = private_terms.find(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string"))
+    each = private_terms.each_span(found).collect()
+    assert len(each) == 6000 and all(0 < len(r["terms"]) <= 2 * private_terms.BESIDE for r in each)
+    made = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert len(private_terms.digest(made).first()["spans"].split(",")) >= 6000
+    for a, _, b in ((r["start"], r["kind"], r["end"]) for r in private_terms.spans_of(made).first()["spans"] if r["kind"] >= 4):
+        assert "@" not in text[a:b]
+
+
 def test_digest(docs, no_docs, rows):
     got = private_terms.digest(docs).collect()
     kinds = list(PATTERNS)
