@@ -16,6 +16,7 @@ from steadymark.functions.arrays import as_doubles, stddev_pop
 from steadymark.functions.scores import argmax, linear_logits
 from steadymark.operators import evaluate, gold, labels, learners, report, scoring, splits, stats, workload
 from steadymark.operators.ordered import ranked_values
+from steadymark.operators.quantiles import sketched_quantiles
 from steadymark.plans import layers
 from steadymark.session import cut_lineage, ship_package
 from steadymark.sources.tables import expand_struct
@@ -148,8 +149,8 @@ def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def global_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = cut_lineage(fact(spark, sf_dir))
-    ranked = ranked_values(joined, gold.METRICS, gold.TARGET)
-    return tidy(gold.global_profile(ranked, gold.cell_table(joined)), 5)
+    quantiles = sketched_quantiles(joined, gold.METRICS, gold.QUARTILES)
+    return tidy(gold.global_profile(quantiles, gold.cell_table(joined)), 5)
 
 
 @register

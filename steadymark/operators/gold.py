@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadymark.functions.corruption import LEVELS
-from steadymark.operators.ordered import exact_quantiles
 
 # Column names of the published tables.
 METRICS = ("entropy", "sparsity", "deletion_score", "insertion_score")
@@ -165,12 +164,17 @@ def degradation(cells: DataFrame, by: Sequence[str] = ("adapter_rank", "corrupti
     )
 
 
-def global_profile(ranked: DataFrame, cells: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+#: Shares of the profile's quantiles: median and quartiles.
+QUARTILES = (0.5, 0.25, 0.75)
+
+
+def global_profile(quantiles: DataFrame, cells: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """One row: mean, std, min, max, median and quartiles of every metric over all joined rows.
 
-    ``ranked`` is :func:`~steadymark.operators.ordered.ranked_values` of the joined rows.
+    ``quantiles`` are those of the joined rows for :data:`QUARTILES`, by
+    :func:`~steadymark.operators.quantiles.sketched_quantiles` or, where ranks are needed anyway, by
+    :func:`~steadymark.operators.ordered.exact_quantiles`.
     """
-    quantiles = exact_quantiles(ranked, [0.5, 0.25, 0.75])
     moments = roll_up(cells, [], metrics)
     per_feature = F.array(*[
         F.struct(

@@ -14,7 +14,7 @@ from steadymark.functions.corruption import corrupted_variants
 from steadymark.functions.explanation import attention_entropy, gini_sparsity
 from steadymark.operators import gold, report, stats
 from steadymark.operators.learners import TrainingPlan, train
-from steadymark.operators.ordered import ranked_values
+from steadymark.operators.ordered import exact_quantiles, ranked_values
 from steadymark.operators.scoring import (
     LinearModels,
     Loader,
@@ -172,7 +172,7 @@ def tables_from(ranked: DataFrame, cells: DataFrame, threshold: float = 0.8) ->
     return {
         "base_stats": gold.base_stats(cells),
         "degradation": degraded,
-        "xai_global": gold.global_profile(ranked, cells),
+        "xai_global": gold.global_profile(exact_quantiles(ranked, gold.QUARTILES), cells),
         "adapter_summary": summary,
         "corruption_impact": gold.corruption_impact(cells),
         "feature_separation": gold.feature_separation(cells),
