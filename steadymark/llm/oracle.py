@@ -67,9 +67,47 @@ SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(
 FROM ranked JOIN totals USING (lang) WHERE rank <= {top}"""
 
 
+def _runs(periods: int = 4, least: int = 6) -> str:
+    """Every pair of equal words within a quarter of a text, put together to stretches of one distance."""
+    bits = "list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    checksum = f"xor(4294967295::BIGINT, list_reduce(list_concat([4294967295]::BIGINT[], {digits}), lambda crc, byte: {bits}))"
+    return rf"""WITH split AS (
+  SELECT doc_id, {checksum} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sized AS (
+  SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM split
+), planted AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(0, n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE words END AS words
+  FROM sized
+), each AS (
+  SELECT doc_id, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM planted
+), same AS (
+  SELECT a.doc_id, b.i - a.i AS period, a.i FROM each AS a JOIN each AS b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND {periods} * (b.i - a.i) <= a.n
+), stretches AS (
+  SELECT doc_id, period, min(i) AS start, count(*) + period AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island FROM same) GROUP BY doc_id, period, island
+), runs AS (
+  SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length
+  HAVING length >= greatest({least}, {periods} * min(period))
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), collapsed AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+    first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS best
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM planted LEFT JOIN listed USING (doc_id) LEFT JOIN collapsed USING (doc_id)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": _components(4, 85, False),
         "op11_tensored_banding": _components(5, 85, True),
+        "op12_periodic_runs": _runs(),
         "op13_collocations": _collocations(),
     }
