@@ -25,7 +25,7 @@ from steadymark.operators.scoring import (
     silver_linear,
 )
 from steadymark.operators.workload import ADAPTER_RANKS, adapters, cluster_by_model, expand
-from steadymark.session import cut_lineage
+from steadymark.session import cut_lineage, released
 from steadymark.sources.tables import save_model, write_single_file, write_table
 
 BRONZE = T.StructType([
@@ -195,9 +195,14 @@ def run_gold(
     """Write all seventeen tables and the best model under ``root``.
 
     The joined rows are written first and read back: the table is the cut in the lineage, shared by
-    every later step and safe when executors are lost. The cell table is written once too. Returns the
-    number of joined rows, which the cells already hold.
+    every later step and safe when executors are lost. The cell table is written once too. Nothing is left in the
+    checkpoint folder. Returns the number of joined rows, which the cells already hold.
     """
+    with released(explanations.sparkSession):
+        return _run_gold(explanations, results, root, threshold, plan)
+
+
+def _run_gold(explanations: DataFrame, results: DataFrame, root: str, threshold: float, plan: TrainingPlan) -> int:
     spark = explanations.sparkSession
     write_table(gold.join_outcomes(explanations, results), f"{root}/joined_dataset.parquet")
     joined = spark.read.parquet(f"{root}/joined_dataset.parquet")

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -60,12 +62,51 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     folder = ensure_checkpoint_dir(df.sparkSession)
     if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _held(kept)
+        return kept
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4()}"
+    _held(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What the open scopes of :func:`released` hold, the innermost last: paths and persisted frames.
+_SCOPES: list[list[str | DataFrame]] = []
+
+
+def _held(what: str | DataFrame) -> None:
+    if _SCOPES:
+        _SCOPES[-1].append(what)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Whatever :func:`cut_lineage` keeps inside is let go at the end, after errors too.
+
+    Results that are used later must have been written or collected by then. Scopes may be nested; threads started
+    inside one belong to it.
+    """
+    scope: list[str | DataFrame] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        # By identity: two empty scopes are equal.
+        del _SCOPES[next(i for i, held in enumerate(_SCOPES) if held is scope)]
+        for what in scope:
+            if isinstance(what, str):
+                delete_path(spark, what)
+            else:
+                what.unpersist()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

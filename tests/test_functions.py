@@ -163,3 +163,48 @@ def test_curves_equal_rescored_masks(spark, height, width, patch, channels, step
     assert got["ic"] == pytest.approx(insertion)
     assert got["ds"] == pytest.approx(dscore)
     assert got["is_"] == pytest.approx(iscore)
+
+
+def plain_box_blur(image, radius, passes=3, whole=True):
+    """Every box summed value by value, with the fractional ends of its edges; lines go on at their ends."""
+    variance = radius * radius / passes
+    reach = int((np.sqrt(12 * variance + 1) - 1) // 2)
+    edge = (2 * reach + 1) * (reach * (reach + 1) - 3 * variance) / (6 * (variance - (reach + 1) ** 2))
+    size = 2 * (reach + edge) + 1
+    weights = np.array([edge] + [1.0] * (2 * reach + 1) + [edge]) / size
+    if whole:
+        weight = int((1 << 24) / size)
+        end = ((1 << 24) - (2 * reach + 1) * weight) // 2
+        weights = np.array([end] + [weight] * (2 * reach + 1) + [end])
+    out = image.astype(np.int64 if whole else float)
+    for axis in (1, 0):
+        for _ in range(passes):
+            moved = np.moveaxis(out, axis, 0)
+            n = len(moved)
+            blurred = np.zeros_like(moved)
+            for i in range(n):
+                total = sum(w * moved[min(max(i + d, 0), n - 1)] for w, d in zip(weights, range(-reach - 1, reach + 2)))
+                blurred[i] = (total + (1 << 23)) >> 24 if whole else total
+            out = np.moveaxis(blurred, 0, axis)
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize(("height", "width", "channels"), [(7, 12, 3), (1, 5, 1), (20, 9, 3)])
+def test_box_blur_equals_boxes_summed_one_by_one(spark, whole, height, width, channels):
+    image = np.random.default_rng(5).integers(0, 256, (height, width, channels))
+    radii = [1.0, 3.0, 6.0, 0.5]
+    copies = one(spark, corruption.box_blurs(F.col("x"), radii, height, width, channels, pixels=whole), x=image.astype(float).ravel())
+    for radius, copy in zip(radii, copies):
+        assert np.array(copy).reshape(image.shape) == pytest.approx(plain_box_blur(image, radius, whole=whole), abs=0 if whole else 1e-9)
+
+
+def test_box_blur_is_near_the_kernel_it_stands_for(spark):
+    """Three boxes make a quadratic spline: its top is (3/4 sqrt(2 pi) / 2)^2 = 0.884 of that of the kernel in two dimensions."""
+    image = np.zeros((41, 41))
+    image[20, 20] = 1000.0
+    for boxes, kernel in zip(
+        one(spark, corruption.box_blurs(F.col("x"), [3.0, 6.0], 41, 41), x=image.ravel()),
+        one(spark, corruption.gaussian_blurs(F.col("x"), [3.0, 6.0], 41, 41), x=image.ravel()),
+    ):
+        assert np.abs(np.array(boxes) - np.array(kernel)).max() < 0.13 * max(kernel) and sum(boxes) == pytest.approx(sum(kernel), rel=0.01)

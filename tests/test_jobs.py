@@ -1,5 +1,7 @@
 """Whole jobs: training, the seventeen tables, and the plans they run as."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,12 +83,33 @@ def test_published_settings_are_the_default():
     assert ridge.getRegParam() == pytest.approx(1 / (0.1 * 1000)) and not ridge.getStandardization()
 
 
+def kept_files(spark):
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    return {name for name in os.listdir(folder) if name.startswith(("table-", "model-"))}
+
+
+def test_kept_tables_are_released(spark):
+    before = kept_files(spark)
+    with pytest.raises(ZeroDivisionError), session.released(spark):
+        kept = session.cut_lineage(spark.range(5))
+        with session.released(spark):
+            session.cut_lineage(spark.range(3))
+            assert len(kept_files(spark) - before) == 2
+        assert len(kept_files(spark) - before) == 1 and kept.count() == 5
+        raise ZeroDivisionError
+    assert kept_files(spark) == before
+    session.cut_lineage(spark.range(2))
+    assert len(kept_files(spark) - before) == 1  # outside a scope a table stays
+
+
 def test_gold_job_writes_every_table(spark, signal, tmp_path):
+    before = kept_files(spark)
     explanations = signal.groupBy("image_path", "adapter_rank").agg(*[F.avg(m).alias(m) for m in gold.METRICS])
     results = signal.select("image_path", "adapter_rank", "corruption_type", "corruption_level", "is_correct")
     root = str(tmp_path / "gold")
     plan = learners.TrainingPlan(params=TINY, folds=2, permutations=1)
     assert layers.run_gold(explanations, results, root, plan=plan) == 1500
+    assert kept_files(spark) == before
     counts = {name: spark.read.parquet(f"{root}/{name}.parquet").count() for name in layers.published_tables()}
     assert len(counts) == 17 and counts["joined_dataset"] == 1500
     assert counts["adapter_summary"] == 3 and counts["correlations"] == 4 and counts["qualitative_summary"] == 5
