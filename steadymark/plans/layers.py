@@ -27,6 +27,7 @@ from steadymark.operators.scoring import (
 from steadymark.operators.workload import ADAPTER_RANKS, adapters, cluster_by_model, expand
 from steadymark.session import cut_lineage, released
 from steadymark.sources.tables import save_model, write_single_file, write_table
+from steadymark.sources.tablesets import published
 
 BRONZE = T.StructType([
     T.StructField("image_path", T.StringType()),
@@ -195,11 +196,13 @@ def run_gold(
     """Write all seventeen tables and the best model under ``root``.
 
     The joined rows are written first and read back: the table is the cut in the lineage, shared by
-    every later step and safe when executors are lost. The cell table is written once too. Nothing is left in the
-    checkpoint folder. Returns the number of joined rows, which the cells already hold.
+    every later step and safe when executors are lost. The cell table is written once too. All are written beside those of
+    an earlier run and replace them together at the end. Nothing is left in the checkpoint folder. Returns the number of
+    joined rows, which the cells already hold.
     """
-    with released(explanations.sparkSession):
-        return _run_gold(explanations, results, root, threshold, plan)
+    spark = explanations.sparkSession
+    with released(spark), published(spark, root) as place:
+        return _run_gold(explanations, results, place, threshold, plan)
 
 
 def _run_gold(explanations: DataFrame, results: DataFrame, root: str, threshold: float, plan: TrainingPlan) -> int:
