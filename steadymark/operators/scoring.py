@@ -13,8 +13,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +137,20 @@ class Predictor(Protocol):
     def attend(self, batch: np.ndarray) -> np.ndarray: ...
 
 
+def task_device(kind: str = "gpu") -> str:
+    """The device that Spark gave this task, ``gpu:0`` say; ``cpu`` where it has none."""
+    context = TaskContext.get()
+    given = context.resources().get(kind) if context is not None else None
+    return f"{kind}:{given.addresses[0]}" if given is not None and given.addresses else "cpu"
+
+
+def device_profile(amount: int = 1, kind: str = "gpu", cpus: int = 1, script: str = "", vendor: str = "") -> ResourceProfile:
+    """What a model stage asks for: executors and tasks with ``amount`` devices. Other stages keep the session's executors."""
+    executors = ExecutorResourceRequests().resource(kind, amount, script, vendor)
+    tasks = TaskResourceRequests().cpus(cpus).resource(kind, amount)
+    return ResourceProfileBuilder().require(executors).require(tasks).build
+
+
 #: Builds the models in the task: called once per partition, returns ``load(rank) -> Predictor | None``.
 Loader = Callable[[], Callable[[int], Predictor | None]]
 
@@ -160,9 +176,12 @@ def score_batches(
     label: str = "true_label",
     model: str = "adapter_rank",
     batch_size: int = 1024,
+    profile: ResourceProfile | None = None,
+    device: str | None = None,
 ) -> DataFrame:
     """:func:`score_linear` for any predictor. Rows of a model the loader does not know are left out;
-    see :func:`unserved_models`. A loader that fails stops the job."""
+    see :func:`unserved_models`. A loader that fails stops the job. ``profile`` asks for executors with devices for this stage
+    alone (:func:`device_profile`); the column ``device`` tells which one a row was scored on."""
     index = {name: i for i, name in enumerate(labels)}
     kept = [f.name for f in workload.schema.fields if f.name != vector]
     schema = (
@@ -171,6 +190,7 @@ def score_batches(
         .add("predicted_class", T.StringType())
         .add("is_correct", T.IntegerType())
     )
+    schema = schema if device is None else schema.add(device, T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for predictor, group in _by_model(batches, loader, model):
@@ -180,12 +200,13 @@ def score_batches(
                 best = logits.argmax(axis=1)
                 truth = chunk[label].astype(str).map(index).fillna(-1).to_numpy()
                 yield chunk[kept].assign(
+                    **({} if device is None else {device: task_device()}),
                     predicted_index=best,
                     predicted_class=[labels[i] if i < len(labels) else str(i) for i in best],
                     is_correct=(best == truth).astype(int),
                 )
 
-    return workload.mapInPandas(run, schema)
+    return workload.mapInPandas(run, schema, profile=profile)
 
 
 def explain_batches(
@@ -197,11 +218,13 @@ def explain_batches(
     steps: int = 10,
     batch_size: int = 256,
     grid: tuple[int, int, int] = (0, 1, 1),
+    profile: ResourceProfile | None = None,
+    device: str | None = None,
 ) -> DataFrame:
     """Deletion and insertion scores of any predictor: every mask is scored again.
 
     The heatmap is the column ``heatmap`` or, without one, the predictor's ``attend``; it is returned as
-    ``heatmap``. ``grid`` is (image width, patch size, channels); width 0 makes every value its own patch.
+    ``heatmap``. ``profile`` and ``device`` are those of :func:`score_batches`. ``grid`` is (image width, patch size, channels); width 0 makes every value its own patch.
     """
     kept = [f.name for f in workload.schema.fields if f.name not in (vector, heatmap)]
     schema = (
@@ -211,6 +234,7 @@ def explain_batches(
         .add("deletion_score", T.DoubleType())
         .add("insertion_score", T.DoubleType())
     )
+    schema = schema if device is None else schema.add(device, T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for predictor, group in _by_model(batches, loader, model):
@@ -222,10 +246,11 @@ def explain_batches(
                     heat = predictor.attend(images) if heatmap is None else np.stack(chunk[heatmap].to_numpy())
                     target, deletion, insertion = _masked_scores(predictor, images, heat, steps, grid)
                     yield chunk[kept].assign(
+                        **({} if device is None else {device: task_device()}),
                         predicted_index=target, heatmap=list(heat), deletion_score=deletion, insertion_score=insertion
                     )
 
-    return workload.mapInPandas(run, schema)
+    return workload.mapInPandas(run, schema, profile=profile)
 
 
 def _masked_scores(
@@ -264,10 +289,12 @@ def extract_batches(
     load: Callable[[], Callable[[pd.DataFrame], Iterable[tuple]]],
     schema: T.StructType,
     batch_size: int = 256,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Embedding extraction: ``load()`` runs once per task and returns ``extract(rows) -> records``.
 
-    ``extract`` may return fewer records than it got, so an unreadable input does not fail its batch.
+    ``extract`` may return fewer records than it got, so an unreadable input does not fail its batch. With ``profile`` the
+    stage asks for devices; ``load`` learns its own from :func:`task_device`.
     """
     names = schema.names
 
@@ -279,7 +306,7 @@ def extract_batches(
                 if records:
                     yield pd.DataFrame.from_records(records, columns=names)
 
-    return images.mapInPandas(run, schema)
+    return images.mapInPandas(run, schema, profile=profile)
 
 
 def unserved_models(workload: DataFrame, known: Sequence[int], model: str = "adapter_rank") -> DataFrame:

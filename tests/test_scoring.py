@@ -139,3 +139,37 @@ def test_chained_arrays_are_evaluated_once(spark):
     """The heatmap is bound before its elements are divided by its sum."""
     df = spark.range(10).select(F.array(*[F.lit(float(i)) for i in range(1, 400)]).alias("x"))
     assert df.select(F.sum(explanation.attention_entropy(explanation.normalise(F.col("x"))))).first()[0] > 0
+
+
+def test_a_model_stage_asks_for_devices(spark, sf_dir, models):
+    """The plan of each model stage carries the profile; other stages keep the session's executors."""
+    profile = scoring.device_profile(amount=2, kind="gpu")
+    assert {k: r.amount for k, r in profile.taskResources.items()} == {"cpus": 1, "gpu": 2} and profile.executorResources["gpu"].amount == 2
+    work = workload.model_workload(standins.images(spark, sf_dir))
+    load = centroid_loader(models)
+    schema = T.StructType().add("n", T.LongType())
+    for stage in (
+        scoring.score_batches(work, load, models.labels, profile=profile),
+        scoring.explain_batches(work, load, profile=profile),
+        scoring.extract_batches(work, lambda: lambda rows: [(len(rows),)], schema, profile=profile),
+    ):
+        held = stage._jdf.queryExecution().analyzed().profile()
+        assert held.isDefined() and held.get().id() == profile.id
+    assert not scoring.score_batches(work, load, models.labels)._jdf.queryExecution().analyzed().profile().isDefined()
+
+
+def test_a_task_without_a_device_says_so(spark, sf_dir, models, monkeypatch):
+    work = workload.model_workload(standins.images(spark, sf_dir))
+    for scored in (
+        scoring.score_batches(work, centroid_loader(models), models.labels, device="device"),
+        scoring.explain_batches(work.limit(20), centroid_loader(models), device="device"),
+    ):
+        assert [r["device"] for r in scored.select("device").distinct().collect()] == ["cpu"] and scored.columns[-1] == "device"
+
+    class Given:
+        def resources(self):
+            return {"gpu": type("Resource", (), {"addresses": ["3", "4"]})()}
+
+    assert scoring.task_device() == "cpu"
+    monkeypatch.setattr(scoring.TaskContext, "get", classmethod(lambda cls: Given()))
+    assert scoring.task_device() == "gpu:3" and scoring.task_device("fpga") == "cpu"
