@@ -100,4 +100,4 @@ def test_pipeline(spark, docs, no_docs, sf_dir):
 
 def test_registered_queries():
     names = set(all_queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 14))
