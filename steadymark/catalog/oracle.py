@@ -174,6 +174,26 @@ down AS (
 blur AS (
   SELECT vec_id, label, 'blur' AS kind, n.level, y * 8 + n.spot AS i, sum(w * v) AS v
   FROM down d JOIN near n ON d.level = n.level AND d.x = n.source GROUP BY ALL)"""
+
+
+def _boxes() -> str:
+    """The edge weight of a box with the variance of a third of the kernel, and three passes along each axis."""
+    parts = [f"""box AS (
+  SELECT level, s, floor((sqrt(12 * s + 1) - 1) / 2)::INT AS l FROM (SELECT level, p * p / 3 AS s FROM (VALUES {levels("blur")}) t(level, p))),
+edges AS (SELECT level, l, (2 * l + 1) * (l * (l + 1) - 3 * s) / (6 * (s - (l + 1) * (l + 1))) AS a FROM box),
+taps AS (
+  SELECT level, d, CASE WHEN abs(d) > l THEN a ELSE 1 END / (2 * l + 1 + 2 * a) AS w FROM (SELECT *, unnest(range(-l - 1, l + 2)) AS d FROM edges)),
+near AS (
+  SELECT level, spot, least(7, greatest(0, spot + d)) AS source, sum(w) AS w
+  FROM taps, (SELECT unnest(range(0, 8)) AS spot) GROUP BY 1, 2, 3),
+pass_0 AS (SELECT vec_id, label, level, i // 8 AS y, i % 8 AS x, v FROM px, box)"""]
+    for number, (axis, other) in enumerate([("x", "y")] * 3 + [("y", "x")] * 3):
+        parts.append(f"""pass_{number + 1} AS (
+  SELECT vec_id, label, p.level, {other}, spot AS {axis}, sum(w * v) AS v
+  FROM pass_{number} p JOIN near n ON p.level = n.level AND p.{axis} = n.source GROUP BY vec_id, label, p.level, {other}, spot)""")
+    return ",\n".join([*parts, "box_blur AS (SELECT vec_id, label, 'blur' AS kind, level, y * 8 + x AS i, v FROM pass_6)"])
+
+
 OOD_M1 = """corrupted AS (FROM contrast UNION ALL BY NAME FROM noise UNION ALL BY NAME FROM blur),
 ood_logits AS (
   SELECT vec_id, label, kind, level, a, k, sum(v * c) + any_value(b) AS z
@@ -344,6 +364,7 @@ FROM tails GROUP BY 1"""
     sql["corrupt_contrast"] = corrupted(CONTRAST, "contrast")
     sql["corrupt_noise"] = corrupted(NOISE, "noise")
     sql["corrupt_blur"] = corrupted(BLUR, "blur")
+    sql["corrupt_box_blur"] = corrupted(_boxes(), "box_blur")
 
     predictions = f"SELECT {keyed}, predicted::VARCHAR AS predicted_class, (predicted = label)::INT::BIGINT AS is_correct FROM clean"
     sql["clean_predictions"] = cte(*M1, CLEAN) + predictions
@@ -414,6 +435,12 @@ SELECT vec_id::VARCHAR AS image_path, (j % 16)::BIGINT AS i, {r('avg(v)::FLOAT::
     sql["stratified_folds"] = cte(place) + (
         "SELECT doc_id, quality::BIGINT AS quality, ((position - 1) % 5)::BIGINT AS fold FROM placed"
     )
+    strata = "PARTITION BY floor(log2(n)), floor(10 * hits / n)"
+    sql["grouped_folds"] = f"""WITH orders AS (
+  SELECT l_orderkey, count(*) AS n, sum((l_tax <= 0.04)::INT) AS hits FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS image_path, n AS rows,
+  floor(5 * (row_number() OVER ({strata} ORDER BY md5(concat_ws('|', l_orderkey, '42'))) - 0.5) / count(*) OVER ({strata}))::BIGINT AS fold
+FROM orders"""
     sql["class_weights"] = f"""WITH c AS (SELECT quality, count(*) AS rows FROM labels GROUP BY 1)
 SELECT quality::BIGINT AS quality, rows, {r('rows / (SELECT sum(rows) FROM c)')} AS share,
   {r('(SELECT sum(rows) FROM c) / ((SELECT count(*) FROM c) * rows)')} AS balanced_weight,

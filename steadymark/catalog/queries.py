@@ -280,11 +280,12 @@ def _corrupted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     x = as_doubles(F.col("vector"))
     noise_unit = stddev_pop(x) / 25.0
     blurs = None
-    if kind == "blur":
-        blurs = corruption.gaussian_blurs(x, [corruption.SEVERITIES[kind][v] for v in corruption.LEVELS], 8, 8)
+    if kind in ("blur", "box_blur"):
+        blur = corruption.gaussian_blurs if kind == "blur" else corruption.box_blurs
+        blurs = blur(x, [corruption.SEVERITIES["blur"][v] for v in corruption.LEVELS], 8, 8)
     copies = []
     for position, level in enumerate(corruption.LEVELS):
-        value = corruption.SEVERITIES[kind][level]
+        value = corruption.SEVERITIES.get(kind, {}).get(level)
         if kind == "gaussian_noise":
             copy = corruption.gaussian_noise(x, noise_unit * value, F.col("image_path"), F.lit(kind), F.lit(level))
         elif kind == "contrast":
@@ -311,6 +312,12 @@ def corrupt_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corrupted(spark, sf_dir, "blur")
 
 
+@register
+def corrupt_box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blur by three extended boxes along each axis."""
+    return _corrupted(spark, sf_dir, "box_blur")
+
+
 # ---------------------------------------------------------------- scoring and curves
 
 
@@ -483,6 +490,14 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(splits.stratified_folds(rows, "quality", ["doc_id"]))
 
 
+@register
+def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's fold, which all its items have in common, and their number."""
+    rows = standins.fact_outcomes(spark, sf_dir).select("image_path", "is_correct")
+    folded = splits.grouped_parts(rows, "image_path", "is_correct", [1.0] * 5, output="fold")
+    return tidy(folded.groupBy("image_path", "fold").agg(F.count(F.lit(1)).alias("rows")))
+
+
 @register
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(splits.class_weights(table(spark, sf_dir, "labels", "quality"), "quality"))
