@@ -435,6 +435,15 @@ SELECT vec_id::VARCHAR AS image_path, (j % 16)::BIGINT AS i, {r('avg(v)::FLOAT::
     sql["stratified_folds"] = cte(place) + (
         "SELECT doc_id, quality::BIGINT AS quality, ((position - 1) % 5)::BIGINT AS fold FROM placed"
     )
+    share = lambda kind: r(f"avg((event_type = '{kind}')::INT)")
+    sql["training_table"] = f"""WITH runs AS (SELECT CASE user_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 16 ELSE 32 END AS rank, * FROM events)
+SELECT rank::BIGINT AS "Rank", (2 * rank)::BIGINT AS "Alpha", CASE rank WHEN 4 THEN '702K' WHEN 16 THEN '2.25M' ELSE '4.31M' END AS "Trainable Params",
+  CASE rank WHEN 4 THEN 0.80 WHEN 16 THEN 2.53 ELSE 4.75 END::DOUBLE AS "Trainable (%)", {r('avg(value)')} AS "Train Loss", {r('max(value)')} AS "Eval Loss",
+  {share('click')} AS "Accuracy", {share('signup')} AS "F1 Score", {share('view')} AS "Precision", {share('purchase')} AS "Recall",
+  count(*)::DOUBLE AS "Duration (min)" FROM runs GROUP BY rank"""
+    sql["partition_overwrite"] = """SELECT l_returnflag AS adapter_rank, l_linestatus AS corruption_type, count(*) AS rows,
+  sum(CASE WHEN l_returnflag = 'R' THEN (l_tax > 0.04)::INT ELSE (l_tax <= 0.04)::INT END)::BIGINT AS correct FROM lineitem GROUP BY 1, 2"""
+    sql["table_set"] = f"SELECT event_type, count(*) AS rows, {r('max(value)')} AS largest FROM events WHERE value >= 0 GROUP BY 1"
     strata = "PARTITION BY floor(log2(n)), floor(10 * hits / n)"
     sql["grouped_folds"] = f"""WITH orders AS (
   SELECT l_orderkey, count(*) AS n, sum((l_tax <= 0.04)::INT) AS hits FROM lineitem GROUP BY 1)

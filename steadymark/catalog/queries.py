@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +19,9 @@ from steadymark.operators import evaluate, gold, labels, learners, report, scori
 from steadymark.operators.ordered import ranked_values
 from steadymark.operators.quantiles import sketched_quantiles
 from steadymark.plans import layers
-from steadymark.session import cut_lineage, ship_package
-from steadymark.sources.tables import expand_struct
+from steadymark.session import cut_lineage, ensure_checkpoint_dir, ship_package
+from steadymark.sources.tables import expand_struct, write_single_file
+from steadymark.sources.tablesets import published, read_member, replace_partitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -549,6 +551,53 @@ def resource_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.resource_stats(table(spark, sf_dir, "events", "event_type", "value"), "event_type", "value")
 
 
+@register
+def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a third of the users each stand for the training run of a rank."""
+    rank = F.get(F.array(*[F.lit(r) for r in workload.ADAPTER_RANKS]), (F.col("user_id") % 3).cast("int")).alias("rank")
+    value, kind = F.col("value"), F.col("event_type")
+    part = lambda name: F.avg((kind == name).cast("int"))
+    runs = table(spark, sf_dir, "events", "user_id", "event_type", "value").groupBy(rank).agg(
+        F.avg(value).alias("train_loss"), F.max(value).alias("eval_loss"), part("click").alias("accuracy"), part("view").alias("precision"),
+        part("purchase").alias("recall"), part("signup").alias("f1"), F.count(F.lit(1)).cast("double").alias("duration_min"),
+    )
+    return tidy(report.training_table(runs))
+
+
+def _shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    folder = ensure_checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+@register
+def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes written by adapter and type; those of one adapter are then written anew, and all are read back."""
+    path = _shared_path(spark, "outcomes")
+    rows = standins.fact_outcomes(spark, sf_dir).select("row_key", "adapter_rank", "corruption_type", "is_correct")
+    replace_partitions(rows, path, ["adapter_rank", "corruption_type"])
+    anew = rows.where("adapter_rank = 'R'").withColumn("is_correct", 1 - F.col("is_correct"))
+    replace_partitions(anew, path, ["adapter_rank", "corruption_type"])
+    back = spark.read.parquet(path)
+    return tidy(back.groupBy("adapter_rank", "corruption_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("is_correct").alias("correct")))
+
+
+@register
+def table_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two small result tables published together, twice, and read back as one."""
+    root = _shared_path(spark, "set")
+    events = table(spark, sf_dir, "events", "event_type", "value")
+    for least in (float("inf"), 0.0):  # the first set is empty
+        with published(spark, root) as place:
+            some = events.where(F.col("value") >= least)
+            write_single_file(some.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows")), f"{place}/counts.parquet")
+            write_single_file(some.groupBy("event_type").agg(F.max("value").alias("largest")), f"{place}/largest.parquet")
+    counts, largest = (read_member(spark, root, f"{name}.parquet") for name in ("counts", "largest"))
+    return tidy(counts.join(largest, "event_type"))
+
+
 # ---------------------------------------------------------------- trained classifiers
 
 _TRAINED: dict[tuple[str, str], learners.TrainedModels] = {}
