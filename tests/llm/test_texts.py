@@ -258,7 +258,6 @@ def test_language_model_joins_rare_words(docs, no_docs, rows, monkeypatch):
 
 
 def test_language_model_learns(spark, monkeypatch):
-    monkeypatch.setattr(recurrent_lm, "SAMPLE", 1)
     monkeypatch.setattr(recurrent_lm, "ROUNDS", 4)
     rng = random.Random(9)
     docs = spark.createDataFrame([(i, " ".join(f"{stem}{rng.randrange(40)}" for _ in range(60))) for i in range(400) for stem in [rng.choice("pqrs")]], "doc_id bigint, text string")
