@@ -1,11 +1,13 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents become sets of shingle hashes; equal sets are one. Similar sets are partitioned into groups: sets
-that share their least shingle and are linked with its leader. The matrix is stored by token: which groups
-have it among the tokens that a member must share with any set linked to it. A set looks its own such tokens
-up and counts those it shares with a group, which bounds its overlap with each member. Groups that may hold a
-linked set are read; the overlap with the union of all of a group's tokens bounds it again, and only if that
-suffices is the group opened and compared member by member. Members of one group are known to be connected, so one link to a group is enough.
+that share their least shingle are compared in bounded blocks, and what links connect there is a cluster, dealt to
+groups of bounded size. The matrix is stored by token: which groups have it among the tokens that a member must
+share with any set linked to it. A set looks its own such tokens up and counts those it shares with a group, which
+bounds its overlap with each member. Of two clusters the sets of the smaller one ask the groups of the larger, so a
+large group of near copies is asked and does not ask. Groups that may hold a linked set are read; the overlap with
+the union of all of a group's tokens bounds it again, and only if that suffices is the group opened and its members
+compared. Members of one cluster are known to be connected, so one link between two clusters is enough.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steadymark.llm.common import SMALL_ROWS, Scratch, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, may_hold, release, scratch, shingles
+from steadymark.llm.common import SMALL_ROWS, Scratch, as_long, batches_of, bitmap, in_bitmap, keep, may_hold, mixed, release, scratch, shingles
 from steadymark.llm.graph import components
+from steadymark.llm.minhash_dedup import Block, Roots, sets_of
 from steadymark.llm.token_files import ddl
 
 #: Words of a shingle, and the least share of common shingles, in hundredths.
 WORDS, PERCENT = 5, 80
-#: Mean members of a group, and leaders against which the sets of a key are compared.
-GROUP, LEADERS = 64, 32
-#: Sets with one least token from which on they are first grouped in parts.
-HOT_KEY, PARTS = 4096, 64
+#: Sets and shingles of a group, and of a block of sets with one least token.
+GROUP_SETS, GROUP_TOKENS = 2048, 1 << 20
+#: Sets with one least token are dealt to so many parts if they are more than a group times the parts before.
+PARTS = (64, 4096, 1 << 18)
+#: Passes over the sets that stay apart in keys of several parts.
+PASSES = 3
 #: Groups that may have a token before it is put last in the order of tokens.
 FREQUENT = 32
 #: Bits of the bitmap that says which tokens are frequent.
@@ -37,7 +42,7 @@ ROUNDS = 4
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("low", pa.int64()), ("tokens", pa.binary())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_POSTINGS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("chunk", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+_POSTINGS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("chunk", pa.int64()), ("members", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
 
 
 def side(df: DataFrame) -> DataFrame:
@@ -54,12 +59,9 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
     """One row a document: its number of shingles, a signature of the set, the least shingle and all shingles."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    tokens = tokens_of(hashes.of(ascii_words(text)), size)
+                for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), sets_of(batch, size), strict=True):
                     if not len(tokens):
                         yield doc_id, 0, None, None, None, None
                         continue
@@ -72,52 +74,44 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(build, ddl(_SETS))
 
 
-def shared_count(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two ascending arrays without repeats."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    common = shared_count(a, b)
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
+def lead(sets: DataFrame, percent: int, hot: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """``u``, ``v``: links that join sets with the same least token.
 
-def lead(sets: DataFrame, percent: int, hot: np.ndarray | None) -> DataFrame:
-    """``u``, ``v``: sets with the same least token that are linked to one of the first of them, and that one.
-
-    Sets are read in order, a key at a time; at most :data:`LEADERS` are held. A key in ``hot`` is dealt to parts.
+    Sets are read in order, a key at a time, in blocks of bounded sets and tokens. ``hot`` has numbers of parts and the
+    keys that are dealt to so many.
     """
     shared = sets.sparkSession.sparkContext.broadcast(hot)
 
     def parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
+            low, place = batch.column("low").to_numpy(), mixed(batch.column("doc_id").to_numpy().view(np.uint64))
             part = np.zeros(batch.num_rows, np.int64)
-            if shared.value is not None:
-                is_hot = in_bitmap(shared.value, batch.column("low").to_numpy())
-                part = np.where(is_hot, batch.column("doc_id").to_numpy() % PARTS, part)
+            for parts, keys in shared.value:
+                part = np.where(in_bitmap(keys, low), (place % np.uint64(parts)).astype(np.int64), part)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), pa.array(part), batch.column("tokens")], names=["doc_id", "low", "part", "tokens"])
 
+    def block_links(ids: list[int], tokens: list[np.ndarray]) -> Iterator[tuple]:
+        if len(ids) < 2:
+            return
+        block, roots = Block(ids, tokens), Roots()
+        for place, own in enumerate(tokens):
+            for other in block.linked(own, percent, place).tolist():
+                if roots.join(ids[place], ids[other]):
+                    yield ids[place], ids[other]
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            key, leaders = None, []
+            last, ids, tokens, held = None, [], [], 0
             for batch in batches:
                 for doc_id, low, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (low, part) != key:
-                        key, leaders = (low, part), []
-                    tokens = np.frombuffer(data, np.uint64)
-                    found = next((first for first, own in leaders if linked(own, tokens, percent)), None)
-                    if found is not None:
-                        yield doc_id, found
-                    elif len(leaders) < LEADERS:
-                        leaders.append((doc_id, tokens))
+                    if (low, part) != last or len(ids) >= GROUP_SETS or held >= GROUP_TOKENS:
+                        yield from block_links(ids, tokens)
+                        last, ids, tokens, held = (low, part), [], [], 0
+                    ids.append(doc_id)
+                    tokens.append(np.frombuffer(data, np.uint64))
+                    held += len(tokens[-1])
+            yield from block_links(ids, tokens)
 
         yield from batches_of(_EDGES, rows())
 
@@ -126,17 +120,24 @@ def lead(sets: DataFrame, percent: int, hot: np.ndarray | None) -> DataFrame:
 
 
 def grouped(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges from sets to leaders: the similar sets that become groups."""
-    keys = s.cut(sets.groupBy("low").count().where("count > 1"))
-    hot_keys = keys.where(F.col("count") > HOT_KEY)
-    hot = bitmap(hot_keys, "low") if hot_keys.count() else None
-    candidates = may_hold(sets, "low", bitmap(keys, "low"))
-    edges = s.cut(lead(candidates, percent, hot))
-    if hot is None:
-        return edges
-    led = edges.select(F.col("u").alias("doc_id")).distinct()
-    leaders = may_hold(candidates, "low", hot).join(side(led), "doc_id", "left_anti")
-    return s.cut(edges.union(lead(leaders, percent, None)))
+    """Links between similar sets, whose components become groups.
+
+    What is still apart after a pass in a key of several parts is dealt anew; links that all passes leave out are found
+    by the matrix.
+    """
+    edges, left = None, sets
+    for _ in range(PASSES):
+        keys = s.cut(left.groupBy("low").count().where("count > 1"))
+        hot = [(parts, keys.where(F.col("count") > GROUP_SETS * before)) for before, parts in zip((1, *PARTS), PARTS, strict=False)]
+        hot = [(parts, bitmap(found, "low")) for parts, found in hot if not found.isEmpty()]
+        left = may_hold(left, "low", bitmap(keys, "low"))
+        found = s.cut(lead(left, percent, hot))
+        edges = found if edges is None else edges.union(found)
+        if not hot:
+            break
+        tied = components(s, found).where("id != label").select(F.col("id").alias("doc_id"))
+        left = may_hold(left, "low", hot[0][1]).join(side(tied), "doc_id", "left_anti")
+    return s.cut(edges)
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -179,7 +180,7 @@ def prefixes(sets: DataFrame, percent: int, frequent: np.ndarray, common: np.nda
 
 
 def candidates(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
-    """``doc_id``, ``cluster``, ``chunk``: sets and the groups of other clusters they may be linked to."""
+    """``doc_id``, ``cluster``, ``chunk``: sets and the groups of other clusters, not smaller than theirs, they may be linked to."""
     leads = F.sum((F.col("doc_id") == F.col("cluster")).cast("int")).alias("leads")
     none = np.zeros(1, np.uint64)
     counted = s.cut(prefixes(sets, percent, none, None, False).groupBy("token").agg(F.count("*").alias("n"), leads).where("n > 1"))
@@ -194,9 +195,9 @@ def candidates(s: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     added = prefixes(sets, percent, frequent, None, True).select("token").distinct()
     common = bitmap(s.cut(counted.select("token").union(added)), "token")
     matrix = prefixes(sets, percent, frequent, common, False).repartition("token")
-    groups = matrix.select("token", F.col("cluster").alias("of"), F.col("chunk").alias("part"), F.col("least").alias("low"), F.col("most").alias("high")).distinct()
+    groups = matrix.select("token", F.col("cluster").alias("of"), F.col("chunk").alias("part"), F.col("members").alias("of_members"), F.col("least").alias("low"), F.col("most").alias("high")).distinct()
     fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
-    counted = matrix.join(groups, "token").where((F.col("cluster") < F.col("of")) & fits).groupBy("doc_id", "n", "of", "part", "low", "high").agg(F.count("*").alias("common"))
+    counted = matrix.join(groups, "token").where((F.struct("members", "cluster") < F.struct("of_members", "of")) & fits).groupBy("doc_id", "n", "of", "part", "low", "high").agg(F.count("*").alias("common"))
     return counted.where(F.col("common") >= least_common(percent)).select("doc_id", F.col("of").alias("cluster"), F.col("part").alias("chunk")).distinct()
 
 
@@ -213,6 +214,18 @@ def least_common(percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(bound(F.greatest("low", F.ceil(percent * n / 100))), bound(F.least("high", F.floor(100 * n / percent)))))
 
 
+def may_link(group: Block, tokens: np.ndarray, percent: int) -> bool:
+    """Whether a set shares so many tokens with the union of a group that it may be linked to a member.
+
+    A member of m tokens needs percent * (n + m) / (100 + percent) common ones, and m >= percent * n / 100.
+    """
+    n = len(tokens)
+    at = np.searchsorted(group.values, tokens)
+    at[at == len(group.values)] = 0
+    least = max(int(group.sizes.min()), -(-percent * n // 100))
+    return int((group.values[at] == tokens).sum()) >= -(-percent * (n + least) // (100 + percent))
+
+
 def opened(s: Scratch, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """``u``, ``v``: links between sets and members of their candidate groups, one for each cluster and group at least."""
     groups = found.select("cluster", "chunk").distinct()
@@ -225,28 +238,25 @@ def opened(s: Scratch, sets: DataFrame, found: DataFrame, percent: int) -> DataF
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[tuple]:
-            key, members, union, least, joined = None, [], None, 0, set()
+            key, ids, members, group, joined = None, [], [], None, set()
             for batch in batches:
                 for cluster, chunk, kind, doc_id, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (cluster, chunk) != key:
-                        key, members, union, joined = (cluster, chunk), [], None, set()
+                        key, ids, members, group, joined = (cluster, chunk), [], [], None, set()
                     tokens = np.frombuffer(data, np.uint64)
                     if kind == 0:
-                        members.append((doc_id, tokens))
+                        ids.append(doc_id)
+                        members.append(tokens)
                         continue
                     if own in joined:
                         continue
-                    if union is None:
-                        union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([m for _, m in members]))
-                        least = min(len(m) for _, m in members)
-                    # A member of m tokens needs percent * (n + m) / (100 + percent) common ones, and m >= percent * n / 100.
-                    need = -(-percent * (len(tokens) + max(least, -(-percent * len(tokens) // 100))) // (100 + percent))
-                    if len(members) > 1 and shared_count(tokens, union) < need:
+                    group = group or Block(ids, members)
+                    if not may_link(group, tokens, percent):
                         continue
-                    hit = next((other for other, m in members if linked(m, tokens, percent)), None)
-                    if hit is not None:
+                    hits = group.linked(tokens, percent)
+                    if len(hits):
                         joined.add(own)
-                        yield doc_id, hit
+                        yield doc_id, ids[hits[0]]
 
         yield from batches_of(_EDGES, links())
 
@@ -274,13 +284,13 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         distinct = some.join(side(copies.select("doc_id", "sig_a")), ["doc_id", "sig_a"], "left_anti").select("doc_id", "n", "low", "tokens")
         near = grouped(s, distinct, percent)
         clusters = s.cut(components(s, near))
-        chunks = clusters.groupBy("label").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-        dealt = clusters.join(chunks, "label").select(F.col("id").alias("doc_id"), F.col("label").alias("cluster"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
-        dealt = s.cut(dealt.join(some.select("doc_id", "n"), "doc_id"))
+        named_sets = clusters.select(F.col("id").alias("doc_id"), F.col("label").alias("cluster")).join(distinct.select("doc_id", "n"), "doc_id")
+        chunks = named_sets.groupBy("cluster").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks"))
+        dealt = s.cut(named_sets.join(chunks, "cluster").select("doc_id", "n", "cluster", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), "members"))
         sizes = dealt.groupBy("cluster", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
         places = s.cut(dealt.drop("n").distinct().join(sizes, ["cluster", "chunk"]))
         own = lambda name, other: F.coalesce(name, other).alias(name)
-        placed = distinct.join(side(places), "doc_id", "left").select("doc_id", "n", own("cluster", "doc_id"), own("chunk", F.lit(0).cast("bigint")), own("least", "n"), own("most", "n"), "tokens")
+        placed = distinct.join(side(places), "doc_id", "left").select("doc_id", "n", own("cluster", "doc_id"), own("chunk", F.lit(0).cast("bigint")), own("members", F.lit(1).cast("bigint")), own("least", "n"), own("most", "n"), "tokens")
         s.free_shuffles()
         found = s.cut(candidates(s, placed, percent))
         s.free_shuffles()

@@ -4,10 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from steadymark.llm import decontaminate, jaccard_join, substring_dedup
-from steadymark.llm.common import Scratch, WordHashes, bitmap, may_hold, shingles
+from steadymark.llm.common import Scratch, bitmap, may_hold, shingles
 from steadymark.llm.graph import components
+from steadymark.llm.minhash_dedup import sets_of
 
 
 def shingle_set(text, size):
@@ -47,14 +49,27 @@ def test_jaccard_join_null_ids_and_no_rows(docs, no_docs):
 
 
 def test_jaccard_join_splits_hot_keys(docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT_KEY", 1)
-    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
-    monkeypatch.setattr(jaccard_join, "GROUP", 2)
+    monkeypatch.setattr(jaccard_join, "GROUP_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "PARTS", (2, 4, 8))
     monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
     monkeypatch.setattr(jaccard_join, "SMALL_ROWS", 0)
     test_jaccard_join(docs, rows, 4, 85)
 
 
+def test_jaccard_join_of_many_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    label = least_linked([(i, shingle_set(t, 4)) for i, t in enumerate(texts)], 85)
+    got = jaccard_join.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+
+
 def test_one_of_each(docs, rows):
     label = least_linked([(i, shingle_set(t, 5)) for i, t in rows if i is not None], 80)
     out = jaccard_join.one_of_each(docs)
@@ -177,7 +192,8 @@ def test_segments_of_an_alignment():
 
 
 def by_value(words):
-    return sorted(words, key=lambda w: int(jaccard_join.tokens_of(WordHashes().of([w.encode()]), 1)[0]))
+    sets = sets_of(pa.record_batch({"text": pa.array(words)}), 1)
+    return [w for _, w in sorted((int(own[0]), w) for own, w in zip(sets, words, strict=True))]
 
 
 def joined_words(spark, sets):
