@@ -17,9 +17,14 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
 #: Chunks in the cache; the older half goes when it is full.
 CACHED_CHUNKS = 1 << 20
+#: Different runs of punctuation whose ids are held.
+CACHED_TAILS = 1 << 14
 #: Characters of a text that are cut into chunks at once.
 SLICE = 1 << 20
 MARK = "<|endoftext|>"
+#: A control character between spaces, an id of its own in the vocabulary of words; chunks that hold it are encoded apart.
+RARE = "\x01"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space in a row: there the byte-level split looks at more than one character.
 _NEIGHBOURS = re.compile(r"\s\s")
 #: Characters that only Python takes for white space.
@@ -41,13 +46,17 @@ class ChunkEncoder:
 
         self.plain = Tokenizer.from_file(vocabulary_path(name))
         self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(vocabulary_path(name))
-        self.mark_id = self.marked.token_to_id(MARK)
         self.dtype = np.dtype("<u2" if self.plain.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = name == BYTE_BPE
+        rare = self.plain.encode(RARE, add_special_tokens=False).ids
+        if self.keeps_space or len(rare) != 1:
+            self.marked = Tokenizer.from_file(vocabulary_path(name))
+            self.mark, self.mark_id = MARK, self.marked.token_to_id(MARK)
+        else:  # looking for special tokens costs as much as the words themselves
+            self.marked, self.mark, self.mark_id = self.plain, f" {RARE} ", rare[0]
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stops = {stop: self._whole(stop) for stop in ",."}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -67,27 +76,39 @@ class ChunkEncoder:
             return chunk
         return chunk[1:] if chunk[:1] == "\r" else f" {chunk}"
 
+    def _stem(self, chunk: str) -> str:
+        """The chunk without the punctuation at its end, if that has ids of its own; lower-cased where the vocabulary does so."""
+        stem = chunk.rstrip(PUNCTUATION)
+        if not stem or not stem[-1].lower()[-1].isalnum():  # a letter may end in a mark when it is lower-cased
+            return chunk
+        if not self.keeps_space and stem.isalpha() and "\u03a3" not in stem and "\u0130" not in stem:
+            return stem.lower()  # but for two letters that are lower-cased by what follows, or to two characters
+        return stem
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) >= CACHED_TAILS:
+                self.tails.clear()
+            self.tails[tail] = self._whole(tail)
+        return self.tails[tail]
+
     def _learn(self, chunks: set[str]) -> None:
-        """Have the ids of all chunks in the cache. Of a word and the comma or period after it, each has ids of its own."""
+        """Have the ids of all chunks in the cache. Of a word and the punctuation after it, each has ids of its own."""
         if len(self.cache) > CACHED_CHUNKS // 2:
             self.older, self.cache = self.cache, {}
         new = chunks.difference(self.cache)
-        stems: dict[str, str] = {}
-        wanted = set()
-        for chunk in new:
-            stem = chunk[:-1] if chunk[-1:] in self.stops and chunk[-2:-1].lower()[-1:].isalnum() else chunk
-            stems[chunk] = stem
-            if stem in self.older:
-                self.cache[stem] = self.older[stem]
-            elif stem not in self.cache:
-                wanted.add(stem)
-        odd = [c for c in wanted if "<|" in c or (self.keeps_space and c[:1] == "\r") or not c]
+        stems = {chunk: self._stem(chunk) for chunk in new}
+        wanted = set(stems.values()).difference(self.cache)
+        for stem in wanted.intersection(self.older) if self.older else ():
+            self.cache[stem] = self.older[stem]
+        wanted.difference_update(self.cache)
+        odd = [c for c in wanted if "<|" in c or (c[:1] == "\r" if self.keeps_space else RARE in c) or not c]
         for chunk in odd:
             self.cache[chunk] = self._whole(self._text_of(chunk))
         ordered = list(wanted.difference(odd))
         for i in range(0, len(ordered), 2000):
             some = ordered[i : i + 2000]
-            text = MARK.join(map(self._text_of, some))
+            text = self.mark.join(map(self._text_of, some))
             ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * self.dtype.itemsize
             data, start = ids.tobytes(), 0
@@ -95,8 +116,9 @@ class ChunkEncoder:
                 self.cache[chunk] = data[start:end]
                 start = end + self.dtype.itemsize
         for chunk, stem in stems.items():
-            if chunk is not stem:
-                self.cache[chunk] = self.cache[stem] + self.stops[chunk[-1]]
+            if chunk not in self.cache:
+                tail = chunk[len(chunk.rstrip(PUNCTUATION)) :]
+                self.cache[chunk] = self.cache[stem] + self._tail(tail) if tail else self.cache[stem]
 
     def _slices(self, text: str) -> Iterator[str]:
         """A long text in parts that begin at a space between two other characters."""
