@@ -43,10 +43,12 @@ _DIGIT = re.compile("[^0-9]+")
 
 _FOUND = pa.schema([
     ("doc_id", pa.int64()), ("kinds", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
-    ("entity", pa.list_(pa.int64())), ("beside", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("owner", pa.list_(pa.int64())),
-    ("term", pa.list_(pa.int64())), ("term_start", pa.list_(pa.int64())), ("term_end", pa.list_(pa.int64())), ("text_key", pa.int64()), ("n_words", pa.int64()),
+    ("entity", pa.list_(pa.int64())), ("beside", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())),
+    ("term", pa.list_(pa.int64())), ("text_key", pa.int64()), ("n_words", pa.int64()),
 ])
 
+_HOLDERS = pa.schema([(name, pa.int64()) for name in ("doc_id", "text_key")] + [(name, pa.list_(pa.int64())) for name in ("entities", "terms", "starts", "ends")])
+
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from each ``@``: what precedes it back to the last match, and the domain after it."""
@@ -125,22 +127,18 @@ def find(docs: DataFrame) -> DataFrame:
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     text = text or ""
                     spans = base_spans(text)
-                    entities, surroundings, held, owners, terms, starts, ends = [], [], [], [], [], [], []
+                    entities, surroundings, held, terms = [], [], [], []
                     opens, closes = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
-                    for i, (start, kind, end) in enumerate(spans):
+                    for start, kind, end in spans:
                         words = [m for m in _beside(text, start, end) if not _overlaps(opens, closes, m.start(), m.end())]
                         held.append(len(words))
                         entities.append(_hash(f"{KINDS[kind]}:{text[start:end].lower()}"))
                         surroundings.append(_hash(" ".join(m[0].lower() for m in words)))
-                        for m in words:
-                            owners.append(i)
-                            terms.append(_hash(m[0].lower()))
-                            starts.append(m.start())
-                            ends.append(m.end())
+                        terms += [_hash(m[0].lower()) for m in words]
                     yield (doc_id, [k for _, k, _ in spans], [s for s, _, _ in spans], [e for _, _, e in spans],
-                           entities, surroundings, held, owners, terms, starts, ends, text_key(text), text.count(" ") + 1)
+                           entities, surroundings, held, terms, text_key(text), text.count(" ") + 1)
 
-        yield from batches_of(_FOUND, rows(), lambda r: 100 + 32 * len(r[1]) + 40 * len(r[7]))
+        yield from batches_of(_FOUND, rows(), lambda r: 100 + 32 * len(r[1]) + 8 * len(r[7]))
 
     return docs.select("doc_id", "text").mapInArrow(search, ddl(_FOUND))
 
@@ -206,15 +204,55 @@ def disclosing(docs: DataFrame, found: DataFrame, s: Scratch) -> DataFrame:
     return counted.join(F.broadcast(total)).where(F.col("total") > F.col("n_value")).select(F.col("value").alias("entity"), "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
+def words_of_holders(docs: DataFrame, reveals: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_key``, ``entities``, ``terms``, ``starts``, ``ends`` of the documents that may hold a value of
+    ``reveals``: those values, and every word of the text outside base spans that may be one of its terms."""
+    send = docs.sparkSession.sparkContext.broadcast
+    values, words = (send(bitmap(reveals, column)) for column in ("entity", "term"))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked(keys: list[int], wanted: np.ndarray) -> list[bool]:
+            return in_bitmap(wanted, np.array(keys, np.int64)).tolist()
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    spans = base_spans(text or "")
+                    found = list({_hash(f"{KINDS[kind]}:{text[start:end].lower()}") for start, kind, end in spans})
+                    held = [key for key, hit in zip(found, marked(found, values.value), strict=True) if hit]
+                    if not held:
+                        continue
+                    opens, closes = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+                    places = [m.span() for m in _WORD.finditer(text)]
+                    distinct = list({text[start:end].lower() for start, end in places})
+                    keys = [_hash(word) for word in distinct]
+                    terms = {word: key for word, key, hit in zip(distinct, keys, marked(keys, words.value), strict=True) if hit}
+                    hits = [(terms[word], start, end) for start, end in places if (word := text[start:end].lower()) in terms and not _overlaps(opens, closes, start, end)]
+                    if hits:
+                        yield doc_id, text_key(text), held, *map(list, zip(*hits, strict=True))
+
+        yield from batches_of(_HOLDERS, rows(), lambda r: 40 + 8 * len(r[2]) + 24 * len(r[3]))
+
+    return docs.select("doc_id", "text").mapInArrow(search, ddl(_HOLDERS))
+
+
 def added_spans(docs: DataFrame, found: DataFrame, s: Scratch) -> DataFrame:
-    """``doc_id``, ``text_key``, ``added``: the disclosing words of each document that has any."""
+    """``doc_id``, ``text_key``, ``added``: the words of each document that disclose a value in it, wherever they stand.
+
+    A word discloses by what the corpus holds beside its value; in a text with that value it goes everywhere. Texts
+    without the value keep it: there it tells nothing about a protected value of theirs.
+    """
     reveals = s.cut(disclosing(docs, found, s))
-    of_value = F.transform("owner", lambda i: F.get("entity", i.cast("int"))).alias("of")
-    words = found.where(F.size("term") > 0).select("doc_id", "text_key", of_value, "term", "term_start", "term_end")
-    words = words.select("doc_id", "text_key", F.inline(F.arrays_zip("of", "term", "term_start", "term_end"))).toDF("doc_id", "text_key", "entity", "term", "start", "end")
+    key = ["doc_id", "text_key"]
+    holders = s.cut(words_of_holders(docs, reveals).dropDuplicates(key))  # equal rows are sanitised alike
+    same = lambda left, right, *more: [left.doc_id.eqNullSafe(right.doc_id), *(left[c] == right[c] for c in ("text_key", *more))]
     kind = F.when(F.col("share") >= REMOVE, KINDS.index("term")).otherwise(KINDS.index("general")).cast("bigint")
-    place = words.join(reveals, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.min(kind).alias("kind"))
-    return place.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    owned = holders.select(*key, F.explode("entities").alias("entity"))
+    distinct = holders.select(*key, F.explode(F.array_distinct("terms")).alias("term")).join(reveals, "term")
+    kinds = distinct.join(owned, same(distinct, owned, "entity"), "left_semi").groupBy(*key, "term").agg(F.min(kind).alias("kind"))
+    words = holders.select(*key, F.inline(F.arrays_zip("terms", "starts", "ends"))).toDF(*key, "term", "start", "end")
+    place = words.join(kinds, same(words, kinds, "term")).select(words.doc_id, words.text_key, "start", "kind", "end")
+    return place.groupBy(*key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
 
 
 def spans_of(docs: DataFrame) -> DataFrame:

@@ -85,14 +85,18 @@ def test_disclosing_terms_are_removed_or_generalised(spark):
     filler = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
     texts = [f"{filler(20)} Zaphod {filler(3)} zb@heart.example.org {filler(20)}" for _ in range(6)] + [filler(60) for _ in range(200)]
     texts += [f"{filler(9)} Marvin {filler(2)} m@heart.example.org"] * 8  # copies prove nothing
+    texts[0] += f" {filler(400)} zaphod, {filler(3)}"  # far from the value, in a text that holds it
+    texts.append(f"{filler(20)} Zaphod {filler(20)}")  # without the value it tells nothing
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars int")
     got = {r.doc_id: r for r in private_terms.digest(docs).collect()}
     for i in range(6):
         at = texts[i].index("Zaphod")
         assert f"term:{at}:{at + 6}" in got[i].spans and got[i].n_terms >= 1
+    assert f"term:{texts[0].index('zaphod')}:" in got[0].spans
     assert all(got[i].n_terms == 0 for i in range(6, len(texts)))
     clean = {r.doc_id: r for r in private_terms.sanitised(docs).collect()}
-    assert "Zaphod" not in clean[0].text and "[EMAIL]" in clean[0].text and clean[0].n_chars == len(clean[0].text)
+    assert clean[len(texts) - 1].text == texts[-1]
+    assert "zaphod" not in clean[0].text.lower() and "[EMAIL]" in clean[0].text and clean[0].n_chars == len(clean[0].text)
     assert "Marvin" in clean[210].text and clean[10].text == texts[10]
     assert private_terms.sanitise("Ann 12 bob", [(0, 5, 3), (4, 5, 6), (7, 4, 10)]) == "[NAME] [NUMBER] "
 
