@@ -284,7 +284,8 @@ def test_language_model_gradients_and_mass():
         states, _ = recurrent_lm.run_window(p, p["embed"] @ p["w"] + p["b"], inputs, fresh, state, False)
         return -recurrent_lm.log_likelihood(p, states.reshape(-1, hidden).astype(float), words.ravel(), classes.ravel())[live.ravel()].sum() / live.sum()
 
-    g, _ = recurrent_lm.gradients(p, inputs, fresh, words, classes, state, live)
+    g = {name: np.ones(shape, np.float32) for name, shape in recurrent_lm.SHAPES.items()}
+    recurrent_lm.gradients(p, g, inputs, fresh, words, classes, state, live)
     for name in p:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
