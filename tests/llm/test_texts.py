@@ -241,6 +241,25 @@ def test_language_id_odd_rows(docs, no_docs, rows):
     assert sorted(str(r.doc_id) for r in kept.collect()) == [i for i in letters if rows[int(i) if i.isdigit() else 0][1] != "日本語 テキスト"]
 
 
+def test_language_kernel_is_the_cosine_of_whole_sets():
+    texts = ["the cat sat on the mat", "a dog ran in the park", "zzz qqq www the"]
+    sets = [set(language_id.ngram_codes(t).tolist()) for t in texts]
+    got = language_id.Landmarks.of([language_id.ngram_set(t) for t in texts[:2]]).kernel([language_id.ngram_set(t) for t in texts])
+    assert got == pytest.approx(np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets[:2]] for a in sets]))
+    assert got[0, 0] == pytest.approx(1)
+
+
+def test_kept_languages_are_those_the_classifier_accepts(spark):
+    rng = random.Random(6)
+    stems = {"xa": ["the", "house", "water", "garden", "under", "mother", "always"], "xb": ["der", "schrank", "wasser", "zwischen", "immer", "mutter", "haus"]}
+    text = lambda stem, n=40: " ".join(rng.choice(stems[stem]) for _ in range(n))
+    rows = [(i, text(("xa", "xb")[i % 2], rng.randrange(5, 60)), ("xa", "xb")[i % 2]) for i in range(160)]
+    strange = [" ".join("".join(rng.choice("kqvjyzwp") for _ in range(6)) for _ in range(40)) + " th" for _ in range(10)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(strange)]
+    got = {r.doc_id for r in language_id.kept(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == set(range(160))  # the strange texts share an n-gram with landmarks, and are in no learned language
+
+
 def test_language_model_counts(docs, no_docs, rows):
     got = recurrent_lm.scored(docs).collect()
     counts = Counter()
