@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,15 +88,48 @@ def _smoothing(length: int, radius: float) -> np.ndarray:
     return matrix
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _blurs(vector: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, radii: pd.Series) -> pd.Series:
-    out = []
-    for values, h, w, c, wanted in zip(vector, height, width, channels, radii):
-        image = np.asarray(values, dtype=np.float64).reshape(h, w, c).transpose(2, 0, 1)
-        out.append([
-            (_smoothing(h, r) @ image @ _smoothing(w, r).T).transpose(1, 2, 0).reshape(-1) for r in wanted
-        ])
-    return pd.Series(out)
+#: Values of the images that are blurred at a time.
+CHUNK = 1 << 18
+_COPIES = pa.list_(pa.list_(pa.float64()))
+
+
+def _copies(vector: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, count: int, blur: Callable[[np.ndarray, int], np.ndarray]) -> pa.Array:
+    """``count`` copies of each image. ``blur(images, i)`` gives copy i of images of one shape (images x height x width x
+    channels); they are read from and written to flat arrays, a bounded number of values at a time."""
+    sizes = np.diff(vector.offsets.to_numpy()) if vector.null_count == 0 else vector.value_lengths().fill_null(0).to_numpy()
+    shapes = np.stack([c.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) for c in (height, width, channels)], axis=1)
+    known = vector.is_valid().to_numpy(zero_copy_only=False)
+    if (shapes.prod(axis=1)[known] != sizes[known]).any():
+        raise ValueError("a vector has another size than its image")
+    values = vector.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(count * len(values))
+    for shape in np.unique(shapes[known], axis=0):
+        own, size = np.flatnonzero(known & (shapes == shape).all(axis=1)), int(shape.prod())
+        step = max(1, CHUNK // max(size, 1))
+        for at in range(0, len(own), step):
+            rows = own[at : at + step]
+            images = values[starts[rows, None] + np.arange(size)].reshape(-1, *shape)
+            for i in range(count):
+                out[(count * starts[rows] + i * size)[:, None] + np.arange(size)] = blur(images, i).reshape(len(rows), size)
+    inner = np.concatenate([[0], np.cumsum(np.repeat(sizes[known], count))]).astype(np.int32)
+    outer = np.concatenate([[0], np.cumsum(np.where(known, count, 0))]).astype(np.int32)
+    # NaN becomes NULL, as from pandas.
+    copies = pa.ListArray.from_arrays(pa.array(inner), pa.array(out, from_pandas=True))
+    return pa.ListArray.from_arrays(pa.array(outer), copies, mask=pa.array(~known) if not known.all() else None)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _blurs(vector: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, radii: pa.Array) -> pa.Array:
+    if not len(vector):
+        return pa.array([], _COPIES)
+    wanted = radii[0].as_py()  # a literal
+
+    def blur(images: np.ndarray, i: int) -> np.ndarray:
+        down, across = (_smoothing(n, wanted[i]) for n in images.shape[1:3])
+        return (down @ images.transpose(0, 3, 1, 2) @ across.T).transpose(0, 2, 3, 1)
+
+    return _copies(vector, height, width, channels, len(wanted), blur)
 
 
 def gaussian_blurs(
@@ -146,24 +180,24 @@ def _box_pass(lines: np.ndarray, radius: float, pixels: bool) -> np.ndarray:
     return (inner * weight + edges * edge_weight + one // 2) >> WEIGHT_BITS
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _boxes(
-    vector: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, radii: pd.Series, pixels: pd.Series, passes: pd.Series
-) -> pd.Series:
-    out = []
-    for values, h, w, c, wanted, whole, times in zip(vector, height, width, channels, radii, pixels, passes):
-        image = np.asarray(values, dtype=np.float64).reshape(h, w, c)
-        image = image.astype(np.int64) if whole else image
-        copies = []
-        for radius in wanted:
-            blurred = image
-            for axes in ((1, 0, 2), (1, 0, 2)):  # along the rows, then along the columns
-                blurred = blurred.transpose(axes)
-                for _ in range(times):
-                    blurred = _box_pass(blurred, box_radius(radius, times), whole)
-            copies.append(blurred.astype(float).reshape(-1))
-        out.append(copies)
-    return pd.Series(out)
+    vector: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, radii: pa.Array, pixels: pa.Array, passes: pa.Array
+) -> pa.Array:
+    if not len(vector):
+        return pa.array([], _COPIES)
+    wanted, whole, times = radii[0].as_py(), pixels[0].as_py(), passes[0].as_py()  # literals
+
+    def blur(images: np.ndarray, i: int) -> np.ndarray:
+        blurred = images.transpose(1, 2, 3, 0)
+        blurred = blurred.astype(np.int64) if whole else blurred
+        for _ in range(2):  # along the rows, then along the columns
+            blurred = blurred.transpose(1, 0, 2, 3)
+            for _ in range(times):
+                blurred = _box_pass(blurred, box_radius(wanted[i], times), whole)
+        return blurred.astype(float).transpose(3, 0, 1, 2)
+
+    return _copies(vector, height, width, channels, len(wanted), blur)
 
 
 def box_blurs(

@@ -208,3 +208,31 @@ def test_box_blur_is_near_the_kernel_it_stands_for(spark):
         one(spark, corruption.gaussian_blurs(F.col("x"), [3.0, 6.0], 41, 41), x=image.ravel()),
     ):
         assert np.abs(np.array(boxes) - np.array(kernel)).max() < 0.13 * max(kernel) and sum(boxes) == pytest.approx(sum(kernel), rel=0.01)
+
+
+def test_blurs_hold_flat_values_and_keep_shapes_and_nulls(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    count, size = 20_000, 64
+    values = rng.normal(size=count * size)
+    vector = pa.ListArray.from_arrays(pa.array(np.arange(0, count * size + 1, size, dtype=np.int32)), pa.array(values))
+    whole = [pa.array(np.full(count, v, np.int32)) for v in (8, 8, 1)]
+    radii = pa.array([[1.0, 3.0, 6.0]] * count)
+    tracemalloc.start()
+    copies = corruption._blurs.func(vector, *whole, radii)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * values.nbytes  # three copies, and chunks; an object for each copy of an image takes more
+    down = corruption._smoothing(8, 3.0)
+    for i in (0, count - 1):
+        wanted = down @ values[i * size : (i + 1) * size].reshape(8, 8) @ down.T
+        assert np.array(copies[i].as_py()[1]).reshape(8, 8) == pytest.approx(wanted)
+    rows = [([1.0] * 6, 2, 3), (None, 2, 3), ([2.0] * 4, 2, 2), ([1.0, None, 1.0, 1.0], 2, 2)]
+    odd = spark.createDataFrame(rows, "x array<double>, h int, w int").coalesce(1)
+    for blur in (corruption.gaussian_blurs, corruption.box_blurs):
+        got = [r[0] for r in odd.select(blur(F.col("x"), [1.0, 2.0], F.col("h"), F.col("w"))).collect()]
+        assert got[0] == [pytest.approx([1.0] * 6)] * 2 and got[1] is None and got[2] == [pytest.approx([2.0] * 4)] * 2
+        assert [len(c) for c in got[3]] == [4, 4] and None in got[3][0]
