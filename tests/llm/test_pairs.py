@@ -227,3 +227,35 @@ def test_passages_every_copy_in_a_text(spark):
     texts = [fresh(20) + own, fresh(30) + own + fresh(150) + own + fresh(10)]
     got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.start, r.end, r.equal) for r in got) == [(1, 30, 90, 60), (1, 240, 300, 60)]
+
+
+def fragments(rng, passage, fresh):
+    """Texts that have 40 words of a passage each, and together all its seeds."""
+    return [fresh(15) + passage[at : at + 40] + fresh(15) for at in range(0, len(passage) - 25, 15)]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages_whose_seeds_are_first_and_last_elsewhere(spark, monkeypatch, hot):
+    if hot:
+        for name, value in (("HOT_SEED", 1), ("HOT_SAMPLE", 1), ("PARTS", 3)):
+            monkeypatch.setattr(substring_dedup, name, value)
+    rng = random.Random(9)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    texts, wanted = [], set()
+    for length in (50, 57, 90):
+        passage = fresh(length)
+        texts += fragments(rng, passage, fresh)
+        early = len(texts)
+        texts.append(fresh(30) + passage + fresh(20))
+        texts += fragments(rng, passage, fresh)
+        wanted.add((len(texts), 10, 10 + length, early, 30, 30 + length, length))
+        texts.append(fresh(10) + passage + fresh(40))
+    got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end, r.equal) for r in got} == wanted
+
+
+def test_equal_runs_have_equal_hashes():
+    words = np.random.default_rng(2).integers(0, 2**63, 300, np.int64).astype(np.uint64)
+    words[200:260] = words[20:80]
+    runs = substring_dedup.run_hashes(words, 50)
+    assert len(runs) == 251 and (runs[200:211] == runs[20:31]).all() and len(np.unique(runs)) == 251 - 11
