@@ -92,16 +92,19 @@ class ChunkEncoder:
             self.tails[tail] = self._whole(tail)
         return self.tails[tail]
 
+    def _unheld(self, chunks: set[str]) -> set[str]:
+        """Those that are not in the cache; what the older half has is moved up. Neither half is walked through."""
+        new, older = chunks.difference(self.cache), self.older
+        found = {chunk: older[chunk] for chunk in new if chunk in older} if older else {}
+        self.cache.update(found)
+        return new.difference(found)
+
     def _learn(self, chunks: set[str]) -> None:
         """Have the ids of all chunks in the cache. Of a word and the punctuation after it, each has ids of its own."""
         if len(self.cache) > CACHED_CHUNKS // 2:
             self.older, self.cache = self.cache, {}
-        new = chunks.difference(self.cache)
-        stems = {chunk: self._stem(chunk) for chunk in new}
-        wanted = set(stems.values()).difference(self.cache)
-        for stem in wanted.intersection(self.older) if self.older else ():
-            self.cache[stem] = self.older[stem]
-        wanted.difference_update(self.cache)
+        stems = {chunk: self._stem(chunk) for chunk in self._unheld(chunks)}
+        wanted = self._unheld(set(stems.values()))
         odd = [c for c in wanted if "<|" in c or (c[:1] == "\r" if self.keeps_space else RARE in c) or not c]
         for chunk in odd:
             self.cache[chunk] = self._whole(self._text_of(chunk))

@@ -123,6 +123,15 @@ def test_chunks_encode_as_whole_texts(vocabulary):
         assert ids.tolist() == own.plain.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_chunks_of_the_older_half_are_not_cut_anew(vocabulary, monkeypatch):
+    own = ChunkEncoder(vocabulary)
+    text = "some words, and others."
+    ids = next(own.encode([text])).tolist()
+    own.older, own.cache = own.cache, {}
+    monkeypatch.setattr(own, "_stem", None)
+    assert next(own.encode([text])).tolist() == ids and own.cache
+
+
 def plain_ids(name, text):
     tokenizer = Tokenizer.from_file(vocabulary_path(name))
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
