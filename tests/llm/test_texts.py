@@ -289,6 +289,19 @@ def test_language_model_joins_rare_words(docs, no_docs, rows, monkeypatch):
     test_language_model_counts(docs, no_docs, rows)
 
 
+@pytest.mark.parametrize("held", [0, 1, 30])
+def test_places_of_words_are_looked_up_together(held, monkeypatch):
+    words = [f"w{i}".encode() for i in range(50)]
+    hashes = np.array([recurrent_lm.word_hash(w) for w in words[:held]], np.int64)
+    vocabulary = recurrent_lm.Vocabulary(hashes, np.array([recurrent_lm.letters_of(w) for w in words[:held]], np.int64), np.arange(held) + 1, np.full(recurrent_lm.LETTERS, 1e4), np.full(recurrent_lm.LETTERS, 1e3), 10_000, 100)
+    expected = [vocabulary.place(w) for w in words]
+    monkeypatch.setattr(recurrent_lm.Vocabulary, "place", None)
+    monkeypatch.setattr(recurrent_lm, "WORKER_WORDS", 40)
+    places = recurrent_lm.Places(vocabulary)
+    for at in (slice(0, 30), slice(20, 50), slice(0, 50), slice(0, 0)):  # the second and the third start afresh
+        assert places.of(words[at]).tolist() == expected[at]
+
+
 def test_language_model_learns(spark, monkeypatch):
     monkeypatch.setattr(recurrent_lm, "ROUNDS", 4)
     rng = random.Random(9)
