@@ -259,3 +259,18 @@ def test_equal_runs_have_equal_hashes():
     words[200:260] = words[20:80]
     runs = substring_dedup.run_hashes(words, 50)
     assert len(runs) == 251 and (runs[200:211] == runs[20:31]).all() and len(np.unique(runs)) == 251 - 11
+
+
+def test_tokens_of_opened_groups_are_dealt_once(spark):
+    data = lambda *values: np.array(values, np.uint64).tobytes()
+    sets = spark.createDataFrame([(1, 1, 0, data(1, 2, 3, 4)), (2, 1, 0, data(1, 2, 3, 5)), (7, 7, 0, data(1, 2, 3, 4, 6)), (9, 9, 0, data(8, 9))], "doc_id bigint, cluster bigint, chunk bigint, tokens binary")
+    found = spark.createDataFrame([(7, 1, 0), (9, 1, 0)], "doc_id bigint, cluster bigint, chunk bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = jaccard_join.opened(Scratch(spark), sets, found, 80)
+        plan = links._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert [(r.u, r.v) for r in links.collect()] == [(7, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
