@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from steadymark.llm.common import batches_of, keep, scratch
 from steadymark.llm.token_files import ddl
-from steadymark.llm.tokens import END_ID, WORD_BPE, encoder
+from steadymark.llm.tokens import END_ID, ENCODERS, WORD_BPE, encoder
 
 WINDOW, UNIT = 4096, 64
 UNITS = WINDOW // UNIT
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
                     if n > at:
                         yield doc_id, at, n - at, zlib.crc32(data[4 * at :]), n, TAIL, n - at, data[4 * at :]
 
-        yield from batches_of(_PIECES, rows(), lambda r: 64 + len(r[-1] or b""))
+        yield from batches_of(_PIECES, rows(), lambda r: 64 + len(r[-1] or b""), ENCODERS)
 
     return docs.select("doc_id", "text").mapInArrow(cut, ddl(_PIECES))
 

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from steadymark.llm.common import HELD
+
 #: The vocabularies of the queries, by the files of the public package.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
@@ -156,7 +158,9 @@ class ChunkEncoder:
             yield np.frombuffer(b"".join(self._whole(part) if chunks is None else b"".join(map(get, chunks)) for part, chunks in parts), self.dtype)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+#: The name of the encoders, with their chunks, among what a worker holds.
+ENCODERS = "encoders"
+_ENCODERS: dict[str, ChunkEncoder] = HELD.setdefault(ENCODERS, {})
 
 
 def encoder(name: str) -> ChunkEncoder:

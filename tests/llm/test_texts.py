@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from steadymark.llm import language_id, packing, private_terms, recurrent_lm, token_files
+from steadymark.llm import common, language_id, packing, private_terms, recurrent_lm, token_files, tokens
 from steadymark.llm.common import Scratch
 from steadymark.llm.tokens import BYTE_BPE, WORD_BPE, ChunkEncoder, vocabulary_path
 from tokenizers import Tokenizer
@@ -355,3 +357,11 @@ def test_language_model_trains_on_every_row(spark, monkeypatch):
     rows = [(i, "the same common text of seven words") for i in range(40)] + [(i, f"text {i} of its own") for i in range(40, 80)]
     got = recurrent_lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert weights.value == got[0].train_tokens == sum(r.n_tokens for r in got if not r.held_out)
+
+
+def test_encoders_go_with_the_next_operator():
+    own, schema = weakref.ref(tokens.encoder(tokens.WORD_BPE)), pa.schema([("n", pa.int64())])
+    list(common.batches_of(schema, iter([(1,)]), own=tokens.ENCODERS))
+    assert own() is tokens.encoder(tokens.WORD_BPE)
+    list(common.batches_of(schema, iter([(1,)])))
+    assert own() is None
