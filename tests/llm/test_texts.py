@@ -134,6 +134,17 @@ def test_chunks_of_the_older_half_are_not_cut_anew(vocabulary, monkeypatch):
     assert next(own.encode([text])).tolist() == ids and own.cache
 
 
+def test_latin_words_are_merged_without_a_python_step_each(vocabulary, monkeypatch):
+    rng, own = random.Random(7), ChunkEncoder(vocabulary)
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and chr(c) not in "\u00aa\u00b5\u00ba"]
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(1, 12))) + "".join(rng.choices(tokens.PUNCTUATION, k=rng.choice((0, 0, 1, 2))))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(200)]
+    expected = [own.plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in own.encode(texts)] == expected
+    monkeypatch.setattr(own, "_stem", lambda chunk: pytest.fail(chunk) if chunk[:1] != "\r" else chunk)  # the first chunk of a text is cut apart
+    assert [ids.tolist() for ids in own.encode(["Sôme WORDS, and others."])] == [own.plain.encode("Sôme WORDS, and others.", add_special_tokens=False).ids]
+
+
 def plain_ids(name, text):
     tokenizer = Tokenizer.from_file(vocabulary_path(name))
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
