@@ -24,7 +24,7 @@ from steadymark.llm.common import HELD
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
 #: Chunks in the cache; the older half goes when it is full.
-CACHED_CHUNKS = 1 << 20
+CACHED_CHUNKS = 1 << 18
 #: Different runs of punctuation whose ids are held.
 CACHED_TAILS = 1 << 14
 #: Characters of a text that are cut into chunks at once, and of the texts whose chunks are numbered together.

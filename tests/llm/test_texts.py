@@ -145,6 +145,13 @@ def test_latin_words_are_merged_without_a_python_step_each(vocabulary, monkeypat
     assert [ids.tolist() for ids in own.encode(["Sôme WORDS, and others."])] == [own.plain.encode("Sôme WORDS, and others.", add_special_tokens=False).ids]
 
 
+def test_few_chunks_are_held(vocabulary):
+    own = ChunkEncoder(vocabulary)
+    for start in range(0, 600_000, 50_000):
+        list(own.encode([" ".join(f"w{n:x}" for n in range(start, start + 50_000))]))
+        assert len(own.cache) + len(own.older) <= 400_000
+
+
 def plain_ids(name, text):
     tokenizer = Tokenizer.from_file(vocabulary_path(name))
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
