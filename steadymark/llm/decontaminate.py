@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadymark.llm.common import BITMAP_BITS, CACHED_WORDS, SMALL_ROWS, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, scratch, shingles
+from steadymark.llm.common import BITMAP_BITS, CACHED_WORDS, SMALL_ROWS, WordHashes, as_long, ascii_words, batches_of, bitmap, in_bitmap, keep, masked_shingles, scratch, shingles
 from steadymark.llm.token_files import ddl
 
 SPAN = 8
@@ -50,7 +50,7 @@ def seeds_of(words: np.ndarray) -> np.ndarray:
     """One row of seeds for each mask. A text shorter than the span has one seed, of all its words."""
     if len(words) < SPAN:
         return shingles(words, len(words))[None, :] if len(words) else np.empty((1, 0), np.uint64)
-    return np.stack([shingles(words, SPAN, mask) + np.uint64(i) for i, mask in enumerate(MASKS)])
+    return masked_shingles(words, SPAN, MASKS) + np.arange(len(MASKS), dtype=np.uint64)[:, None]
 
 
 def _key(words: np.ndarray) -> int:

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from steadymark.llm import common, language_id, packing, private_terms, recurrent_lm, token_files, tokens
+from steadymark.llm import common, decontaminate, language_id, packing, private_terms, recurrent_lm, token_files, tokens
 from steadymark.llm.common import Scratch
 from steadymark.llm.tokens import BYTE_BPE, WORD_BPE, ChunkEncoder, vocabulary_path
 from tokenizers import Tokenizer
@@ -152,6 +152,15 @@ def test_few_chunks_are_held(vocabulary):
         assert len(own.cache) + len(own.older) <= 400_000
 
 
+def test_seeds_of_all_masks_are_those_of_each():
+    rng = np.random.default_rng(3)
+    for n in (8, 9, 40):
+        words = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        each = [common.shingles(words, decontaminate.SPAN, mask) for mask in decontaminate.MASKS]
+        assert np.array_equal(common.masked_shingles(words, decontaminate.SPAN, decontaminate.MASKS), np.stack(each))
+    assert common._multiplier(5) is common._multiplier(5)
+
+
 def plain_ids(name, text):
     tokenizer = Tokenizer.from_file(vocabulary_path(name))
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
