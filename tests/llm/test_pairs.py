@@ -254,6 +254,60 @@ def test_passages_whose_seeds_are_first_and_last_elsewhere(spark, monkeypatch, h
     assert {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end, r.equal) for r in got} == wanted
 
 
+@pytest.mark.parametrize("hot, crowd", [(False, 8192), (True, 8192), (False, 2)])
+def test_changed_passages_whose_seeds_are_first_and_last_elsewhere(spark, monkeypatch, hot, crowd):
+    if hot:
+        for name, value in (("HOT_SEED", 1), ("HOT_SAMPLE", 1), ("PARTS", 3)):
+            monkeypatch.setattr(substring_dedup, name, value)
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd, raising=False)
+    rng = random.Random(10)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    texts, wanted = [], set()
+    for _ in range(3):
+        lines = [fresh(18) for _ in range(4)]
+        short = lambda: [texts.append(fresh(20) + line + fresh(20)) for line in lines]
+        joined = lambda: [w for line in lines for w in line + fresh(2)][:-2]  # noqa: E731, no two have a run of 50 words
+        short()
+        early = len(texts)
+        texts.append(fresh(30) + joined() + fresh(20))
+        short()
+        wanted.add((len(texts), 10, 88, early, 30, 108, 72))
+        texts.append(fresh(10) + joined() + fresh(40))
+    got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end, r.equal) for r in got} == wanted
+
+
+def test_all_earlier_texts_that_are_alike(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 40, (60, substring_dedup.AROUND_BYTES)).astype(np.uint8)  # 0 is beyond a text and equals nothing
+    words[30:] = np.where(rng.random((30, words.shape[1])) < 0.4, words[:30], words[30:])
+    seeds, text = rng.integers(0, 4, 60), np.arange(60) // 2
+    seeds[30:50] = seeds[:20]
+    asks = rng.random(60) < 0.6
+    places = spark.createDataFrame([(int(s), int(100 + t), int(t), i % 2, bytes(w)) for i, (s, t, w) in enumerate(zip(seeds, text, words))], "seed bigint, doc_id bigint, key bigint, pos int, words binary")
+    asking = spark.createDataFrame([(int(seeds[i]), int(text[i]), int(i % 2)) for i in np.flatnonzero(asks)], "seed bigint, key bigint, pos int")
+    x = np.maximum(words, 1)
+    wanted = set()
+    for i in np.flatnonzero(asks).tolist():
+        for j in range(60):
+            if text[j] < text[i] and seeds[i] == seeds[j] and (x[i] == words[j]).sum() >= 20 and substring_dedup.shifted(x[i : i + 1], words[j : j + 1])[0] >= 40:
+                wanted.add((int(text[i]), int(text[j]), i % 2))
+    assert len(wanted) > 4
+    for crowd in (8192, 3):
+        monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+        got = {(r.key, r.other, r.pos) for r in substring_dedup.alike(places, asking).collect()}
+        assert got == wanted
+
+
+def test_words_beside_a_seed_may_be_some_places_off():
+    rng = np.random.default_rng(6)
+    x = rng.integers(2, 250, (1, substring_dedup.AROUND_BYTES)).astype(np.uint8)
+    low, high = substring_dedup.AROUND - 20, substring_dedup.AROUND + substring_dedup.K
+    z = rng.integers(2, 250, x.shape).astype(np.uint8)
+    z[:, low:high], z[:, high + 2 : high + 26] = x[:, low:high], x[:, high : high + 24]  # two words inserted after the seed
+    assert 48 <= substring_dedup.shifted(x, z)[0] <= 56 and (x == z).sum() < 40
+
+
 def test_equal_runs_have_equal_hashes():
     words = np.random.default_rng(2).integers(0, 2**63, 300, np.int64).astype(np.uint64)
     words[200:260] = words[20:80]
